@@ -29,6 +29,12 @@ def _evict(cache: dict, limit: int) -> None:
             del cache[key]
 
 
+def plain_texts(column: pa.Array) -> pa.Array:
+    """The column as large strings, null as empty, in buffers of its own (some Arrow kernels misread a slice)."""
+    kind = pa.large_string()
+    return pa.concat_arrays([pc.fill_null(column.cast(kind), ""), pa.array([], kind)])
+
+
 LETTER = r"A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff}"
 MARK = r"!-&(-/:-@\[-`{-~"  # ASCII punctuation without the apostrophe
 BOUNDARY = f"([{LETTER}])([{MARK}])"
@@ -130,7 +136,7 @@ class WordCachedEncoder:
 
         ASCII letters are lower-cased and words cut at marks first, unless a special token's string may stand in a text.
         """
-        column = pc.fill_null(column.cast(pa.large_string()), "")
+        column = plain_texts(column)
         whole = not pc.any(pc.match_substring(column, "<|")).as_py()
         if whole:
             column = pc.ascii_lower(column)
@@ -419,7 +425,7 @@ class BytePairCodec:
         without odd white space is encoded by chunks, each with its leading blank, and each distinct
         chunk of the column once.  A text with odd white space is one chunk.
         """
-        column = pc.fill_null(column.cast(pa.large_string()), "")
+        column = plain_texts(column)
         odd = pc.match_substring_regex(column, self.ODD)
         split = pc.split_pattern(pc.if_else(odd, "", column), " ")
         flat, offsets = split.flatten(), split.offsets.to_numpy() - split.offsets[0].as_py()

@@ -180,6 +180,8 @@ def test_word_encoder_equals_library():
     ids, at = encoder.encode_column(pa.array(texts))
     for i, text in enumerate(texts):
         assert ids[at[i] : at[i + 1]].tolist() == word_ids(text), text
+    ids, at = encoder.encode_column(pa.array(texts).slice(200, 300))
+    assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [word_ids(x) for x in texts[200:500]]
 
 
 @pytest.mark.parametrize("table", ["edge", "documents", "empty"])
