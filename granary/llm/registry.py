@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, line_dedup, media, packing, quality, token_counts, token_store
+from . import bpe, chat, line_dedup, media, packing, quality, token_counts, token_store, topk
 
 QUERIES = {
     "op1_media_columns": media.query,
@@ -13,5 +13,6 @@ QUERIES = {
     "op7_quality_knn": quality.query,
     "op8_best_fit_packing": packing.query,
     "op9_line_dedup": line_dedup.query,
+    "op10_top_k": topk.query,
 }
-ORACLE_SQL = {"op9_line_dedup": line_dedup.ORACLE}
+ORACLE_SQL = {"op9_line_dedup": line_dedup.ORACLE, "op10_top_k": topk.ORACLE}
