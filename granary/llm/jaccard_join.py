@@ -92,8 +92,8 @@ def _key(data: bytes) -> bytes:
 
 
 def sketches(documents: DataFrame, words: int = WORDS, roots: int = ROOTS, deep: int = DEEP, levels: int = LEVELS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id (NO_ID for null), key of the set, n, and the sampled tokens t1, t2, ... of each level."""
-    names = ["doc_id", "key", "n", *(f"t{d + 1}" for d in range(levels))]
+    """doc_id (NO_ID for null), text_hash, key of the set, n, and the sampled tokens t1, t2, ... of each level."""
+    names = ["doc_id", "text_hash", "key", "n", *(f"t{d + 1}" for d in range(levels))]
 
     def run(batches):
         for batch in pieces(batches, 4000):
@@ -101,7 +101,7 @@ def sketches(documents: DataFrame, words: int = WORDS, roots: int = ROOTS, deep:
             sizes = np.diff(at)
             data = memoryview(values.tobytes())
             keys = [_key(data[a * 8 : b * 8]) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
-            columns = [batch.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64())]
+            columns = [batch.column(0), batch.column(2), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64())]
             for d in range(levels):
                 hashes = _mix(values ^ np.uint64(0x5851F42D4C957F2D * (d + 1) & (1 << 64) - 1))
                 limit = np.minimum(2.0**64 * (roots if d == 0 else deep) / np.maximum(sizes, 1), 2.0**64 - 2048).astype(np.uint64)
@@ -110,8 +110,8 @@ def sketches(documents: DataFrame, words: int = WORDS, roots: int = ROOTS, deep:
                 columns.append(pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(hashes[chosen].view(np.int64))))
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    rows = documents.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, key binary, n long" + "".join(f", t{d + 1} array<long>" for d in range(levels)))
+    rows = documents.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(text_col).alias("text_hash"))
+    return rows.mapInArrow(run, "doc_id long, text_hash long, key binary, n long" + "".join(f", t{d + 1} array<long>" for d in range(levels)))
 
 
 def _sized(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -286,8 +286,8 @@ def components(edges: DataFrame, root: str, rounds: int = 50) -> DataFrame:
     return edges.select(F.col("x").alias("node"), F.col("y").alias("leader"))
 
 
-def jaccard_links(documents: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text", roots: int = ROOTS, deep: int = DEEP, small: int = SMALL, block: int = BLOCK, dense: float = DENSE) -> DataFrame:
-    """doc_id, class_id, links of every row."""
+def jaccard_links(documents: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text", roots: int = ROOTS, deep: int = DEEP, small: int = SMALL, block: int = BLOCK, dense: float = DENSE, identify: bool = False) -> DataFrame:
+    """doc_id, class_id, links of every row; if asked, the text's hash (xxhash64) and a name of its component that no other has."""
     spark: SparkSession = documents.sparkSession
     root = staging(spark, "jaccard")
     rows = stage(sketches(documents, words, roots, deep, id_col=id_col, text_col=text_col), f"{root}/rows")
@@ -303,10 +303,23 @@ def jaccard_links(documents: DataFrame, threshold: float = THRESHOLD, words: int
     named = nodes.select("key", "doc_id", "copies").join(links, "key", "left").join(leaders.withColumnRenamed("node", "key"), "key", "left")
     named = stage(named.select("key", "doc_id", "leader", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")), f"{root}/named")
     least = named.groupBy(F.coalesce("leader", "key").alias("leader")).agg(F.min("doc_id").alias("class_id"))
-    named = named.withColumn("leader", F.coalesce("leader", "key")).join(least, "leader").select("key", "class_id", "links")
-    out = rows.select("doc_id", "key", "n").join(named, "key", "left")
+    named = named.withColumn("leader", F.coalesce("leader", "key")).join(least, "leader").select("key", "class_id", "links", "leader")
+    out = rows.select("doc_id", "text_hash", "key", "n").join(named, "key", "left")
     some = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
-    return out.select(some("doc_id").alias("doc_id"), F.coalesce(F.when(F.col("n") > 0, some("class_id")), some("doc_id")).alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
+    return out.select(some("doc_id").alias("doc_id"), F.coalesce(F.when(F.col("n") > 0, some("class_id")), some("doc_id")).alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"), *["text_hash", F.col("leader").alias("component")] * identify)
+
+
+def one_of_each(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows without links, and of each component the row of least id (then least hash of the text), once."""
+    links = jaccard_links(documents, id_col=id_col, text_col=text_col, identify=True, **options).filter("links > 0")
+    grouped = links.select(F.struct("doc_id", "text_hash").alias("similar_row"), "component").distinct()
+    first = grouped.groupBy("component").agg(F.min("similar_row").alias("first"))
+    marks = grouped.join(first, "component").select(F.col("similar_row.doc_id").alias("similar_id"), F.col("similar_row.text_hash").alias("similar_hash"), (F.col("similar_row") == F.col("first")).alias("similar_first"))
+    own = F.xxhash64(text_col)
+    tagged = documents.join(marks, F.col(id_col).cast("long").eqNullSafe(F.col("similar_id")) & (own == F.col("similar_hash")), "left")
+    single = tagged.filter(F.col("similar_first").isNull()).select(*documents.columns)
+    survivors = tagged.filter("similar_first").dropDuplicates(["similar_id", "similar_hash"]).select(*documents.columns)
+    return single.unionByName(survivors)
 
 
 def query(spark, sf_dir):
