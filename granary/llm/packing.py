@@ -144,7 +144,7 @@ def cut_documents(documents: DataFrame, tokenizer_path: str | None = None, end_i
 
     def run(batches):
         encoder, task, ranks = word_encoder(path), TaskContext.get().partitionId(), [0] * (capacity + 1)
-        for batch in pieces(batches, 4000):
+        for batch in pieces(batches, 1500, 3 << 20):
             ids, at = encoder.encode_column(batch.column(1))
             rows = []
             for doc_id, a, b in zip(batch.column(0).to_pylist(), at[:-1].tolist(), at[1:].tolist()):

@@ -28,7 +28,7 @@ def token_lengths(documents: DataFrame, tokenizer_path: str | None = None, id_co
 
     def run(batches):
         encoder = word_encoder(path)
-        for batch in pieces(batches, 4000):
+        for batch in pieces(batches, 1500, 3 << 20):
             _, at = encoder.encode_column(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(at), pa.int64())], ["doc_id", "n_tokens"])
 

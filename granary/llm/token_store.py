@@ -86,7 +86,7 @@ def _chunks(documents: DataFrame, path: str, end_id: int) -> DataFrame:
 
         encoder, seen = word_encoder(path), set()
         pack = zstandard.ZstdCompressor(level=3, write_content_size=True, write_checksum=False).compress
-        for batch in pieces(batches, 4000):
+        for batch in pieces(batches, 1500, 3 << 20):
             ids, at = encoder.encode_column(batch.column(1))
             rows = []
             for doc_id, a, b in zip(batch.column(0).to_pylist(), at[:-1].tolist(), at[1:].tolist()):

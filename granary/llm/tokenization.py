@@ -82,7 +82,7 @@ class WordCachedEncoder:
 
     SIMPLE = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+|[!-&(-/:-@\[-`{-~]+")
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = 200_000):
         import json
 
         from tokenizers import Tokenizer
@@ -232,7 +232,7 @@ class BytePairCodec:
     ``\\s`` in the pattern is Unicode White_Space, as there.
     """
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, limit: int = 600_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, limit: int = 400_000):
         import regex
 
         self.ranks = ranks
