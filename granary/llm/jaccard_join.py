@@ -306,7 +306,7 @@ def jaccard_links(documents: DataFrame, threshold: float = THRESHOLD, words: int
     named = named.withColumn("leader", F.coalesce("leader", "key")).join(least, "leader").select("key", "class_id", "links", "leader")
     out = rows.select("doc_id", "text_hash", "key", "n").join(named, "key", "left")
     some = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
-    return out.select(some("doc_id").alias("doc_id"), F.coalesce(F.when(F.col("n") > 0, some("class_id")), some("doc_id")).alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"), *["text_hash", F.col("leader").alias("component")] * identify)
+    return out.select(some("doc_id").alias("doc_id"), F.when(F.col("n") > 0, some("class_id")).otherwise(some("doc_id")).alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"), *["text_hash", F.col("leader").alias("component")] * identify)
 
 
 def one_of_each(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
