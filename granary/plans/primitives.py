@@ -12,8 +12,8 @@ _SIGNS = {"eq": "=", "ge": ">=", "gt": ">", "le": "<=", "lt": "<"}
 
 
 def _counts(conditions):
-    """One row: how many line items satisfy each condition, in one scan."""
-    return lambda spark, sf_dir: fixed_agg(table(spark, sf_dir, "lineitem"), **{n: F.count(F.when(c, 1)) for n, c in conditions.items()})
+    """One row: how many line items satisfy each condition, in one scan.  ``conditions`` makes them, with a session at hand."""
+    return lambda spark, sf_dir: fixed_agg(table(spark, sf_dir, "lineitem"), **{n: F.count(F.when(c, 1)) for n, c in conditions().items()})
 
 
 def _counts_sql(conditions):
@@ -33,15 +33,15 @@ def _quoted(x):
 
 def _matrix():
     queries, sql = {}, {}
-    col_val = {f"{op}_{t}": compare(op, c, _constant(v)) for op in _SIGNS for t, (c, v, _) in _TYPES.items()}
+    col_val = lambda: {f"{op}_{t}": compare(op, c, _constant(v)) for op in _SIGNS for t, (c, v, _) in _TYPES.items()}
     queries["prim_compare_col_val"] = _counts(col_val)
     sql["prim_compare_col_val"] = _counts_sql({f"{op}_{t}": f"{c} {s} {_quoted(v)}" for op, s in _SIGNS.items() for t, (c, v, _) in _TYPES.items()})
     pairs = {"long": ("l_partkey", "l_suppkey"), "double": ("l_quantity", "l_linenumber"), "text": ("l_returnflag", "l_linestatus"), "date": ("l_shipdate", "l_shipdate")}
-    queries["prim_compare_col_col"] = _counts({f"{op}_{t}": compare(op, a, b) for op in _SIGNS for t, (a, b) in pairs.items()})
+    queries["prim_compare_col_col"] = _counts(lambda: {f"{op}_{t}": compare(op, a, b) for op in _SIGNS for t, (a, b) in pairs.items()})
     sql["prim_compare_col_col"] = _counts_sql({f"{op}_{t}": f"{a} {s} {b}" for op, s in _SIGNS.items() for t, (a, b) in pairs.items()})
-    queries["prim_compare_val_or_val"] = _counts({f"{op}_{t}": compare_either(op, c, _constant(v), _constant(w)) for op in _SIGNS for t, (c, v, w) in _TYPES.items()})
+    queries["prim_compare_val_or_val"] = _counts(lambda: {f"{op}_{t}": compare_either(op, c, _constant(v), _constant(w)) for op in _SIGNS for t, (c, v, w) in _TYPES.items()})
     sql["prim_compare_val_or_val"] = _counts_sql({f"{op}_{t}": f"({c} {s} {_quoted(v)} OR {c} {s} {_quoted(w)})" for op, s in _SIGNS.items() for t, (c, v, w) in _TYPES.items()})
-    chained = {f"{op}_{t}": compare(op, c, _constant(v)) & compare("ge", "l_linenumber", 2) & between("l_quantity", 5.0, 45.0) for op in _SIGNS for t, (c, v, _) in _TYPES.items()}
+    chained = lambda: {f"{op}_{t}": compare(op, c, _constant(v)) & compare("ge", "l_linenumber", 2) & between("l_quantity", 5.0, 45.0) for op in _SIGNS for t, (c, v, _) in _TYPES.items()}
     queries["prim_compare_chained"] = _counts(chained)
     sql["prim_compare_chained"] = _counts_sql({f"{op}_{t}": f"{c} {s} {_quoted(v)} AND l_linenumber >= 2 AND l_quantity BETWEEN 5 AND 45" for op, s in _SIGNS.items() for t, (c, v, _) in _TYPES.items()})
     return queries, sql
@@ -49,21 +49,20 @@ def _matrix():
 
 QUERIES, ORACLE_SQL = _matrix()
 _KEYS = ["l_orderkey", "l_linenumber"]
-_SIGNED = F.col("l_partkey") - 1000
 _OPS = {"plus": "+", "minus": "-", "multiplies": "*", "divides": "//", "modulus": "%"}
 
 
 def _arithmetic(left, right):
-    return lambda spark, sf_dir: table(spark, sf_dir, "lineitem").select(*_KEYS, *(arithmetic(op, left, right).cast("long").alias(f"r_{op}") for op in _OPS))
+    return lambda spark, sf_dir: table(spark, sf_dir, "lineitem").select(*_KEYS, *(arithmetic(op, F.expr(left), F.expr(right)).cast("long").alias(f"r_{op}") for op in _OPS))
 
 
 def _arithmetic_sql(left, right):
     return "SELECT l_orderkey, l_linenumber, " + ", ".join(f"CAST({left} {s} {right} AS BIGINT) AS r_{op}" for op, s in _OPS.items()) + " FROM lineitem"
 
 
-QUERIES["prim_arithmetic_col_col"], ORACLE_SQL["prim_arithmetic_col_col"] = _arithmetic(_SIGNED, "l_linenumber"), _arithmetic_sql("(l_partkey - 1000)", "l_linenumber")
-QUERIES["prim_arithmetic_col_val"], ORACLE_SQL["prim_arithmetic_col_val"] = _arithmetic(_SIGNED, 7), _arithmetic_sql("(l_partkey - 1000)", "7")
-QUERIES["prim_arithmetic_val_col"], ORACLE_SQL["prim_arithmetic_val_col"] = _arithmetic(F.lit(-1000), "l_linenumber"), _arithmetic_sql("(-1000)", "l_linenumber")
+QUERIES["prim_arithmetic_col_col"], ORACLE_SQL["prim_arithmetic_col_col"] = _arithmetic("l_partkey - 1000", "l_linenumber"), _arithmetic_sql("(l_partkey - 1000)", "l_linenumber")
+QUERIES["prim_arithmetic_col_val"], ORACLE_SQL["prim_arithmetic_col_val"] = _arithmetic("l_partkey - 1000", "7"), _arithmetic_sql("(l_partkey - 1000)", "7")
+QUERIES["prim_arithmetic_val_col"], ORACLE_SQL["prim_arithmetic_val_col"] = _arithmetic("-1000", "l_linenumber"), _arithmetic_sql("(-1000)", "l_linenumber")
 
 
 def arithmetic_after_selection(spark, sf_dir):

@@ -68,7 +68,8 @@ def write_relation(df: DataFrame, path: str, binary: bool = False) -> None:
     if binary:
         rows.write.mode("overwrite").parquet(path)
     else:
-        rows.select(F.concat_ws(" ", "key", "payload").alias("#KEY, VAL")).write.mode("overwrite").option("header", True).option("quote", "").csv(path, sep="\t")
+        header = df.sparkSession.range(1).select(F.lit("#KEY, VAL").alias("value"))
+        header.unionByName(rows.select(F.concat_ws(" ", "key", "payload").alias("value"))).write.mode("overwrite").text(path)
 
 
 def read_relation(spark: SparkSession, path: str, binary: bool = False) -> DataFrame:
@@ -76,7 +77,7 @@ def read_relation(spark: SparkSession, path: str, binary: bool = False) -> DataF
     if binary:
         return spark.read.parquet(path).select("key", "payload")
     parts = F.split(F.trim(F.col("value")), r"[ ,]+")
-    lines = spark.read.text(path).filter(~F.col("value").startswith("#") & (F.trim("value") != ""))
+    lines = spark.read.text(path).filter(~F.ltrim("value").startswith("#") & (F.trim("value") != ""))
     return lines.select(F.get(parts, F.lit(0)).cast("long").alias("key"), F.get(parts, F.lit(1)).cast("long").alias("payload"))
 
 
