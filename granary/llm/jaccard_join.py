@@ -8,18 +8,23 @@ class (the least document id among those connected by links) and its number of l
 Method.  Documents of equal sets are one node with a number of copies.  A path is a sequence of
 sampled tokens that a set holds: level 1 samples each token of a set of n with probability ``roots`` / n,
 by one hash for all sets, so similar sets sample the same tokens; that is as many repeated runs as ``roots``
-stands for.  Nodes that share a path meet in its bucket.  A bucket of up to ``small`` nodes is compared by brute
-force.  A larger one is split again on the next level's sample (rate ``deep`` / n), unless it is dense,
-that is, its nodes share most of their sampled tokens: then splitting can't help, and it is
-compared by brute force in pairs of blocks.  Every bucket is compared in full; nothing is dropped for size.
-
-Recall.  A pair of similarity 0.8 misses level 1 with probability at most e^(-0.8 roots), and a further level,
-if all its common buckets are that large, with e^(-0.8 deep): 3e-6 and 7e-5 by default, 1.4e-4 together at exactly
-0.8, less above.  Candidates are verified by their whole sets.
-
-Cost.  Buckets of the same members are compared once.  Links are counted where they are found, at
-the least path that both nodes have in common, so no pair is counted twice and none leaves its task: a bucket
-returns a count a node and a star of edges a component.  Sets are shuffled for nodes in buckets of two or more only.
+stands for.  Nodes that share a path meet in its bucket.  A bucket of up to ``block`` nodes is compared by brute
+force.  A larger one is split again: each path samples ``branches`` further tokens of each set, by a hash of
+its own, from a pool of ``pool`` tokens sampled alike for all sets; sets that share few tokens part at every level.
+A bucket that is dense (its nodes share most of their samples), or large at the last level, is compared
+by brute force in pairs of blocks.  Nothing is dropped for size.
+
+Brute force goes in two passes.  First pools alone are compared: a node without any partner of estimated similarity
+``loose`` leaves the bucket, and a bucket falls into the components of what is left; equal sets of members become
+one bucket.  Then the whole sets of the rest are compared exactly.
+
+Recall.  A pair of similarity 0.8 has 0.8 ``roots`` = 12.8 common paths on level 1 in the mean, and keeps each on
+a further level with probability 0.8, independently: it is lost with probability at most 3e-6 at level 1, 4e-5, 1e-4
+and 2e-4 if all common buckets are so large that two, three, four levels are needed; less above 0.8.  The estimate
+of 0.5 for a pair of 0.8 is over six standard deviations off.
+
+Cost.  Links are counted where they are found, at the least bucket that both nodes have in common, so no pair is
+counted twice and none leaves its task: a bucket returns a count a node and a star of edges a component.
 Components are found by alternating large-star and small-star steps over written tables.
 
 Repeated rows are copies of one another; null texts have no words; null ids count as documents without id;
@@ -40,8 +45,8 @@ from .common import pieces, read_table, stage, staging
 from .tokenization import plain_texts
 
 WORDS, THRESHOLD = 5, 0.8
-ROOTS, DEEP, LEVELS = 16, 12, 3
-SMALL, BLOCK, DENSE = 512, 2048, 0.5
+ROOTS, BRANCHES, LEVELS, POOL = 16, 2, 4, 64
+BLOCK, DENSE, LOOSE = 2048, 0.5, 0.5
 NO_ID = -(1 << 63)
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
@@ -91,70 +96,134 @@ def _key(data: bytes) -> bytes:
     return hashlib.blake2b(data, digest_size=16).digest()
 
 
-def sketches(documents: DataFrame, words: int = WORDS, roots: int = ROOTS, deep: int = DEEP, levels: int = LEVELS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id (NO_ID for null), text_hash, key of the set, n, and the sampled tokens t1, t2, ... of each level."""
-    names = ["doc_id", "text_hash", "key", "n", *(f"t{d + 1}" for d in range(levels))]
+def sketches(documents: DataFrame, words: int = WORDS, roots: int = ROOTS, pool: int = POOL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id (NO_ID for null), text_hash, key of the set, n, sampled roots, and the pool of sampled tokens (32-bit)."""
+    names = ["doc_id", "text_hash", "key", "n", "roots", "pool"]
+
+    def sampled(values, at, rate, seed):
+        sizes = np.diff(at)
+        hashes = _mix(values ^ np.uint64(seed))
+        limit = np.minimum(2.0**64 * rate / np.maximum(sizes, 1), 2.0**64 - 2048).astype(np.uint64)
+        chosen = hashes <= np.repeat(limit, sizes)
+        return hashes[chosen], np.concatenate(([0], np.cumsum(chosen)))[at]
 
     def run(batches):
         for batch in pieces(batches, 4000):
             values, at = shingle_sets(batch.column(1), words)
-            sizes = np.diff(at)
             data = memoryview(values.tobytes())
             keys = [_key(data[a * 8 : b * 8]) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
-            columns = [batch.column(0), batch.column(2), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64())]
-            for d in range(levels):
-                hashes = _mix(values ^ np.uint64(0x5851F42D4C957F2D * (d + 1) & (1 << 64) - 1))
-                limit = np.minimum(2.0**64 * (roots if d == 0 else deep) / np.maximum(sizes, 1), 2.0**64 - 2048).astype(np.uint64)
-                chosen = hashes <= np.repeat(limit, sizes)
-                offsets = np.concatenate(([0], np.cumsum(chosen)))[at]
-                columns.append(pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(hashes[chosen].view(np.int64))))
+            columns = [batch.column(0), batch.column(2), pa.array(keys, pa.binary()), pa.array(np.diff(at), pa.int64())]
+            for rate, seed, kind in ((roots, 0x5851F42D4C957F2D, np.int64), (pool, 0x2545F4914F6CDD1D, np.int32)):
+                hashes, offsets = sampled(values, at, rate, seed)
+                # the sampled hashes are all small: mixed again, their bits are even
+                columns.append(pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array((_mix(hashes) & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32) if kind is np.int32 else _mix(hashes).view(np.int64))))
             yield pa.RecordBatch.from_arrays(columns, names)
 
     rows = documents.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(text_col).alias("text_hash"))
-    return rows.mapInArrow(run, "doc_id long, text_hash long, key binary, n long" + "".join(f", t{d + 1} array<long>" for d in range(levels)))
+    return rows.mapInArrow(run, "doc_id long, text_hash long, key binary, n long, roots array<long>, pool array<int>")
 
 
-def _sized(rows: DataFrame, by: list[str]) -> DataFrame:
-    """Number of nodes of each bucket and a signature of its members."""
+def _sized(rows: DataFrame) -> DataFrame:
+    """Number of nodes of each path's bucket and a signature of its members."""
     own = [F.bit_xor(F.xxhash64(F.lit(i), F.col("key"))).alias(f"s{i}") for i in (1, 2)]
-    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("m"), *own).filter(F.col("m") > 1)
+    return rows.groupBy("path").agg(F.count(F.lit(1)).alias("m"), *own).filter(F.col("m") > 1)
 
 
-def buckets(nodes: DataFrame, root: str, small: int = SMALL, dense: float = DENSE, levels: int = LEVELS) -> DataFrame:
+def buckets(nodes: DataFrame, root: str, block: int = BLOCK, dense: float = DENSE, branches: int = BRANCHES, levels: int = LEVELS) -> DataFrame:
     """Buckets to compare: path, key, m (nodes in the bucket).  ``nodes`` is a written table."""
-    found = []
-    frontier = stage(nodes.select("key", F.explode("t1").alias("path")), f"{root}/level1")
-    sizes = stage(_sized(frontier, ["path"]), f"{root}/sizes1")
-    found.append((frontier, sizes.filter(F.col("m") <= small)))
-    large = frontier.join(sizes.filter(F.col("m") > small).select("path", "m"), "path")
-    for d in range(2, levels + 1):
-        large = stage(large, f"{root}/large{d}")
-        if large.isEmpty():
+    rows = stage(nodes.select("key", F.explode("roots").alias("path")), f"{root}/level1")
+    found, sizes = [], []
+    for d in range(1, levels + 1):
+        own = stage(_sized(rows), f"{root}/sizes{d}")
+        found.append(rows)
+        sizes.append(own.filter(F.col("m") <= block))
+        large = own.filter(F.col("m") > block).select("path", "m")
+        if d == levels or large.isEmpty():
+            sizes.append(own.filter(F.col("m") > block))
             break
-        children = large.join(nodes.select("key", F.col(f"t{d}").alias("t")), "key").select("key", F.col("path").alias("parent"), F.col("m").alias("members"), F.explode("t").alias("t"))
-        children = stage(children.withColumn("path", F.xxhash64("parent", "t")), f"{root}/level{d}")
-        each = children.groupBy("parent", "path").agg(F.count(F.lit(1)).cast("double").alias("c"), F.max("members").alias("members"))
-        density = each.groupBy("parent").agg((F.sum(F.col("c") * F.col("c")) / (F.sum("c") * F.max("members"))).alias("density"))
-        density = stage(density, f"{root}/density{d}")
+        inside = rows.join(large, "path").join(nodes.select("key", "n", "pool"), "key")
+        rate = F.lit(float(branches) * (1 << 40)) / F.least(F.size("pool"), F.lit(POOL))
+        chosen = F.filter("pool", lambda t: F.xxhash64(F.col("path"), t, F.lit(d)).bitwiseAND((1 << 40) - 1) < rate)
+        children = inside.select("key", F.col("path").alias("parent"), "m", F.explode(chosen).alias("t"))
+        children = stage(children.withColumn("path", F.xxhash64("parent", "t", F.lit(d))), f"{root}/level{d + 1}")
+        each = children.groupBy("parent", "path").agg(F.count(F.lit(1)).cast("double").alias("c"), F.max("m").alias("m"))
+        density = stage(each.groupBy("parent").agg((F.sum(F.col("c") * F.col("c")) / (F.sum("c") * F.max("m"))).alias("density")), f"{root}/density{d}")
         whole = density.filter(F.col("density") >= dense).select(F.col("parent").alias("path"))
-        large = large.select("key", "path")
-        found.append((large, _sized(large, ["path"]).join(whole, "path", "left_semi")))
-        split = children.join(density.filter(F.col("density") < dense).select("parent"), "parent", "left_semi").select("key", "path")
-        sizes = stage(_sized(split, ["path"]), f"{root}/sizes{d}")
-        found.append((split, sizes.filter(F.col("m") <= small)))
-        large = split.join(sizes.filter(F.col("m") > small).select("path", "m"), "path")
-    found.append((large.select("key", "path"), _sized(large.select("key", "path"), ["path"])))
-    sizes = found[0][1]
-    for _, more in found[1:]:
-        sizes = sizes.unionByName(more)
+        sizes.append(own.filter(F.col("m") > block).join(whole, "path", "left_semi"))
+        rows = children.join(density.filter(F.col("density") < dense).select("parent"), "parent", "left_semi").select("key", "path")
+    every = sizes[0]
+    for more in sizes[1:]:
+        every = every.unionByName(more)
     # equal members: one bucket is enough
-    kept = sizes.groupBy("m", "s1", "s2").agg(F.min("path").alias("path"))
+    kept = every.groupBy("m", "s1", "s2").agg(F.min("path").alias("path"))
     kept = stage(kept.select("path", "m"), f"{root}/kept")
-    members = [rows.join(kept, "path").select("path", "key", "m") for rows, _ in found]
-    every = members[0]
+    members = [rows.join(kept, "path").select("path", "key", "m") for rows in found]
+    out = members[0]
     for more in members[1:]:
-        every = every.unionByName(more)
-    return every.distinct()
+        out = out.unionByName(more)
+    return out
+
+
+def _blocks(key: bytes, m: int, block: int):
+    """The pairs of blocks that a node belongs to: (first, second, own)."""
+    parts = -(-m // block)
+    mine = int.from_bytes(key[:8], "little") % parts
+    return [(min(mine, other), max(mine, other), mine) for other in range(parts)]
+
+
+def loose_buckets(members: DataFrame, nodes: DataFrame, loose: float = LOOSE, block: int = BLOCK) -> DataFrame:
+    """path, key, m: buckets without the nodes that have no partner of estimated similarity ``loose``.
+
+    A bucket in one block is replaced by its components; its new path is a hash of their members.
+    """
+    where = "path long, a int, b int, own int, m long, key binary, pool binary"
+    names = ["path", "a", "b", "own", "m", "key", "pool"]
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+
+    def spread(batches):
+        for batch in pieces(batches, 4000):
+            out = []
+            for path, key, m, pool in zip(*(c.to_pylist() for c in batch.columns)):
+                data = np.unique(np.array(pool, np.int32)).tobytes()
+                out += [(path, a, b, own, m, key, data) for a, b, own in _blocks(key, m, block)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
+
+    def finish(key, nodes):
+        n = len(nodes)
+        if n < 2:
+            return []
+        near = _near([x[2] for x in nodes], loose)
+        if key[1] != key[2]:
+            own = np.array([x[0] for x in nodes])
+            near &= own[:, None] != own[None, :]
+        if key[3] > block:
+            return [(key[0], nodes[i][1], key[3]) for i in np.flatnonzero(near.any(1)).tolist()]
+        out, label = [], _labels(near)
+        for first in np.flatnonzero(np.bincount(label, minlength=n) > 1).tolist():
+            keys = sorted(nodes[i][1] for i in np.flatnonzero(label == first).tolist())
+            path = int.from_bytes(hashlib.blake2b(b"".join(keys), digest_size=8).digest(), "little", signed=True)
+            out += [(path, k, len(keys)) for k in keys]
+        return out
+
+    def run(batches):
+        names, types = ["path", "key", "m"], [pa.int64(), pa.binary(), pa.int64()]
+        current, nodes, out = None, [], []
+        for batch in pieces(batches, 4000):
+            for path, a, b, own, m, key, pool in zip(*(c.to_pylist() for c in batch.columns)):
+                if current != (path, a, b, m):
+                    if current:
+                        out += finish(current, nodes)
+                    current, nodes = (path, a, b, m), []
+                nodes.append((own, key, np.frombuffer(pool, np.int32)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
+                out = []
+        if current and (out := finish(current, nodes)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
+
+    pooled = members.join(nodes.select("key", "pool"), "key").select("path", "key", "m", "pool").mapInArrow(spread, where)
+    dealt = pooled.repartition("path", "a", "b").sortWithinPartitions("path", "a", "b", "key")
+    return dealt.mapInArrow(run, "path long, key binary, m long").distinct()
 
 
 def _spread(rows: DataFrame, words: int, block: int) -> DataFrame:
@@ -172,10 +241,7 @@ def _spread(rows: DataFrame, words: int, block: int) -> DataFrame:
                     continue
                 ids = np.array([p["path"] for p in paths], np.int64).tobytes()
                 for p in paths:
-                    parts = -(-p["m"] // block)
-                    mine = int.from_bytes(key[:8], "little") % parts
-                    for other in range(parts):
-                        out.append((p["path"], min(mine, other), max(mine, other), mine, key, copies, own, ids))
+                    out += [(p["path"], a, b, mine, key, copies, own, ids) for a, b, mine in _blocks(key, p["m"], block)]
                     if len(out) >= 500:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
                         out = []
@@ -204,35 +270,45 @@ def _common(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
     return total
 
 
+def _near(sets: list[np.ndarray], threshold: float) -> np.ndarray:
+    """Which pairs of sorted sets have this similarity."""
+    if len(sets) == 2:
+        common = np.zeros((2, 2))
+        common[0, 1] = common[1, 0] = len(np.intersect1d(*sets, assume_unique=True))
+    else:
+        common = _common(sets)
+    sizes = np.array([len(x) for x in sets], np.float64)
+    near = common * (1 + threshold) >= threshold * (sizes[:, None] + sizes[None, :]) - 1e-6
+    np.fill_diagonal(near, False)
+    return near
+
+
+def _labels(near: np.ndarray) -> np.ndarray:
+    """For each node the first node of its component."""
+    label = np.arange(len(near))
+    while True:  # least label of the neighbours, until nothing changes
+        least = np.minimum(label, np.where(near, label[None, :], len(near)).min(1))
+        least = least[least]
+        if (least == label).all():
+            return label
+        label = least
+
+
 def compare(path: int, nodes: list[tuple], threshold: float, across: bool) -> tuple[np.ndarray, np.ndarray]:
     """Links of each node (copies of its partners) counted at this path, and for each node the first node it is connected with.
 
     ``nodes``: own block, key, copies, set, paths; ``across``: only pairs of different blocks.
     """
     n = len(nodes)
-    sizes = np.array([len(x[3]) for x in nodes], np.float64)
-    if n == 2:
-        common = np.zeros((2, 2))
-        common[0, 1] = common[1, 0] = len(np.intersect1d(nodes[0][3], nodes[1][3], assume_unique=True))
-    else:
-        common = _common([x[3] for x in nodes])
-    near = common * (1 + threshold) >= threshold * (sizes[:, None] + sizes[None, :]) - 1e-6
-    np.fill_diagonal(near, False)
+    near = _near([x[3] for x in nodes], threshold)
     if across:
         own = np.array([x[0] for x in nodes])
         near &= own[:, None] != own[None, :]
-    links, label = np.zeros(n, np.int64), np.arange(n)
     if not near.any():
-        return links, label
+        return np.zeros(n, np.int64), np.arange(n)
     lesser = [x[4][x[4] < path] for x in nodes]
-    counted = near & (_common(lesser) == 0) if n > 2 else near & (len(np.intersect1d(*lesser)) == 0)
-    links = counted @ np.array([x[2] for x in nodes], np.int64)
-    while True:  # least label of the neighbours, until nothing changes
-        least = np.minimum(label, np.where(near, label[None, :], n).min(1))
-        least = least[least]
-        if (least == label).all():
-            return links, label
-        label = least
+    counted = near & (_common(lesser) == 0)
+    return counted @ np.array([x[2] for x in nodes], np.int64), _labels(near)
 
 
 def compare_buckets(sent: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -286,14 +362,13 @@ def components(edges: DataFrame, root: str, rounds: int = 50) -> DataFrame:
     return edges.select(F.col("x").alias("node"), F.col("y").alias("leader"))
 
 
-def jaccard_links(documents: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text", roots: int = ROOTS, deep: int = DEEP, small: int = SMALL, block: int = BLOCK, dense: float = DENSE, identify: bool = False) -> DataFrame:
+def jaccard_links(documents: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text", roots: int = ROOTS, branches: int = BRANCHES, levels: int = LEVELS, block: int = BLOCK, dense: float = DENSE, identify: bool = False) -> DataFrame:
     """doc_id, class_id, links of every row; if asked, the text's hash (xxhash64) and a name of its component that no other has."""
     spark: SparkSession = documents.sparkSession
     root = staging(spark, "jaccard")
-    rows = stage(sketches(documents, words, roots, deep, id_col=id_col, text_col=text_col), f"{root}/rows")
-    samples = [F.first(f"t{d + 1}").alias(f"t{d + 1}") for d in range(LEVELS)]
-    nodes = stage(rows.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), *samples), f"{root}/nodes")
-    members = buckets(nodes, root, small, dense)
+    rows = stage(sketches(documents, words, roots, id_col=id_col, text_col=text_col), f"{root}/rows")
+    nodes = stage(rows.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("roots").alias("roots"), F.first("pool").alias("pool")), f"{root}/nodes")
+    members = stage(loose_buckets(buckets(nodes, root, block, dense, branches, levels), nodes, threshold * LOOSE / THRESHOLD, block), f"{root}/members")
     wanted = members.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("path", "m"))).alias("paths"))
     wanted = wanted.join(nodes.select("key", "doc_id", "copies"), "key")
     texts = documents.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text_col).cast("string").alias("text"))

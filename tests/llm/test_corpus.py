@@ -67,8 +67,8 @@ def test_links_on_tables(documents):
     assert ours(jaccard_join.jaccard_links(documents)) == brute_links(rows)
 
 
-@pytest.mark.parametrize("small,block,dense", [(512, 2048, 0.5), (4, 8, 0.5), (4, 8, 2.0), (2, 3, 0.3)])
-def test_links_in_every_kind_of_bucket(spark, small, block, dense):
+@pytest.mark.parametrize("block,dense", [(2048, 0.5), (8, 0.5), (8, 2.0), (3, 0.3)])
+def test_links_in_every_kind_of_bucket(spark, block, dense):
     """Small limits force further levels, dense buckets and pairs of blocks."""
     rng = random.Random(4)
     common = words(rng, 30)
@@ -86,7 +86,7 @@ def test_links_in_every_kind_of_bucket(spark, small, block, dense):
     for i in range(8):
         rows.append((len(rows), " ".join(chain[3 * i :] + words(rng, 3 * i))))
     rng.shuffle(rows)
-    assert ours(jaccard_join.jaccard_links(frame(spark, rows), small=small, block=block, dense=dense)) == brute_links(rows)
+    assert ours(jaccard_join.jaccard_links(frame(spark, rows), block=block, dense=dense)) == brute_links(rows)
 
 
 def test_links_of_odd_rows(spark):
