@@ -8,6 +8,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .tables import relation_name, write_relation
+
 R_SEED, S_SEED = 12345, 54321
 
 
@@ -80,3 +82,17 @@ def _coprime(n: int) -> int:
     while math.gcd(step, n) != 1:
         step += 1
     return step
+
+
+def write_generated(spark: SparkSession, folder: str, side: str, n: int, largest: int | None = None, skew: float = 0.0, binary: bool = False) -> str:
+    """Generates a relation and writes it under its name; gives the path.
+
+    Side r: unique keys, or Zipf keys over 1..n if skewed.  Side s: keys of 1..largest, uniform in turn or Zipf.
+    """
+    if side == "r":
+        rows = zipf_keys(spark, n, n, skew, R_SEED) if skew else primary_keys(spark, n)
+    else:
+        rows = zipf_keys(spark, n, largest or n, skew, S_SEED) if skew else foreign_keys(spark, n, largest or n)
+    path = f"{folder}/{relation_name(side, skew, n, largest if side == 's' else None)}"
+    write_relation(rows, path, binary)
+    return path

@@ -153,6 +153,14 @@ def test_relations(spark, tmp_path):
     assert tables.relation_name("R", 0.5, 1000) == "r_skew=0.5_size=1000" and tables.relation_name("s", 1, 50, 9) == "s_skew=1_size=50_max=9"
 
 
+def test_written_relations(spark, tmp_path):
+    r = datagen.write_generated(spark, str(tmp_path), "r", 50)
+    s = datagen.write_generated(spark, str(tmp_path), "s", 120, 50, 1.0, binary=True)
+    assert r.endswith("r_skew=0_size=50") and s.endswith("s_skew=1_size=120_max=50")
+    assert sorted(x["key"] for x in tables.read_relation(spark, r).collect()) == list(range(1, 51))
+    assert tables.read_relation(spark, s, binary=True).filter("key between 1 and 50").count() == 120
+
+
 def test_generators(spark):
     keys = [r["key"] for r in datagen.primary_keys(spark, 500).collect()]
     assert sorted(keys) == list(range(1, 501)) and keys != sorted(keys)
