@@ -41,7 +41,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pieces, read_table, stage, staging
+from .common import map_batches, pieces, read_table, stage, staging
 from .tokenization import plain_texts
 
 WORDS, THRESHOLD = 5, 0.8
@@ -120,7 +120,7 @@ def sketches(documents: DataFrame, words: int = WORDS, roots: int = ROOTS, pool:
             yield pa.RecordBatch.from_arrays(columns, names)
 
     rows = documents.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(text_col).alias("text_hash"))
-    return rows.mapInArrow(run, "doc_id long, text_hash long, key binary, n long, roots array<long>, pool array<int>")
+    return map_batches(rows, run, "doc_id long, text_hash long, key binary, n long, roots array<long>, pool array<int>")
 
 
 def _sized(rows: DataFrame) -> DataFrame:
@@ -147,10 +147,12 @@ def buckets(nodes: DataFrame, root: str, block: int = BLOCK, dense: float = DENS
         children = inside.select("key", F.col("path").alias("parent"), "m", F.explode(chosen).alias("t"))
         children = stage(children.withColumn("path", F.xxhash64("parent", "t", F.lit(d))), f"{root}/level{d + 1}")
         each = children.groupBy("parent", "path").agg(F.count(F.lit(1)).cast("double").alias("c"), F.max("m").alias("m"))
-        density = stage(each.groupBy("parent").agg((F.sum(F.col("c") * F.col("c")) / (F.sum("c") * F.max("m"))).alias("density")), f"{root}/density{d}")
+        each = stage(each, f"{root}/counts{d}")
+        density = each.groupBy("parent").agg((F.sum(F.col("c") * F.col("c")) / (F.sum("c") * F.max("m"))).alias("density"))
         whole = density.filter(F.col("density") >= dense).select(F.col("parent").alias("path"))
         sizes.append(own.filter(F.col("m") > block).join(whole, "path", "left_semi"))
-        rows = children.join(density.filter(F.col("density") < dense).select("parent"), "parent", "left_semi").select("key", "path")
+        shared = each.filter("c > 1").join(density.filter(F.col("density") < dense), "parent").select("path")
+        rows = children.join(shared, "path", "left_semi").select("key", "path")  # a path of one node leads nowhere
     every = sizes[0]
     for more in sizes[1:]:
         every = every.unionByName(more)
@@ -221,9 +223,9 @@ def loose_buckets(members: DataFrame, nodes: DataFrame, loose: float = LOOSE, bl
         if current and (out := finish(current, nodes)):
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
 
-    pooled = members.join(nodes.select("key", "pool"), "key").select("path", "key", "m", "pool").mapInArrow(spread, where)
+    pooled = map_batches(members.join(nodes.select("key", "pool"), "key").select("path", "key", "m", "pool"), spread, where)
     dealt = pooled.repartition("path", "a", "b").sortWithinPartitions("path", "a", "b", "key")
-    return dealt.mapInArrow(run, "path long, key binary, m long").distinct()
+    return map_batches(dealt, run, "path long, key binary, m long").distinct()
 
 
 def _spread(rows: DataFrame, words: int, block: int) -> DataFrame:
@@ -248,7 +250,7 @@ def _spread(rows: DataFrame, words: int, block: int) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
 
-    return rows.select("doc_id", "text", "key", "copies", "paths").mapInArrow(run, "path long, a int, b int, own int, key binary, copies long, shingles binary, paths binary")
+    return map_batches(rows.select("doc_id", "text", "key", "copies", "paths"), run, "path long, a int, b int, own int, key binary, copies long, shingles binary, paths binary")
 
 
 def _common(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
@@ -276,7 +278,7 @@ def _near(sets: list[np.ndarray], threshold: float) -> np.ndarray:
         common = np.zeros((2, 2))
         common[0, 1] = common[1, 0] = len(np.intersect1d(*sets, assume_unique=True))
     else:
-        common = _common(sets)
+        common = _common(sets).astype(np.float64)  # whole numbers: exact in either width
     sizes = np.array([len(x) for x in sets], np.float64)
     near = common * (1 + threshold) >= threshold * (sizes[:, None] + sizes[None, :]) - 1e-6
     np.fill_diagonal(near, False)
@@ -338,7 +340,7 @@ def compare_buckets(sent: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
 
     dealt = sent.repartition("path", "a", "b").sortWithinPartitions("path", "a", "b", "key")
-    return dealt.mapInArrow(run, "key binary, links long, other binary")
+    return map_batches(dealt, run, "key binary, links long, other binary")
 
 
 def components(edges: DataFrame, root: str, rounds: int = 50) -> DataFrame:

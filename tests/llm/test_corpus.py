@@ -99,6 +99,15 @@ def test_links_of_odd_rows(spark):
     assert kept == [(False, 0), (False, 0), (True, 1), (True, 2), (True, 3), (True, 6), (True, 8), (True, 9), (True, 11)]
 
 
+def test_the_threshold_itself_counts():
+    """216 of 270 shingles in common is 0.8 exactly."""
+    base = np.arange(244, dtype=np.uint64)
+    other = np.concatenate((base[:216], np.arange(1000, 1026, dtype=np.uint64)))
+    less = np.concatenate((base[:215], np.arange(2000, 2027, dtype=np.uint64)))
+    assert jaccard_join._near([base, other, less], 0.8).tolist() == [[False, True, False], [True, False, False], [False, False, False]]
+    assert jaccard_join._near([base, other], 0.8)[0, 1] and not jaccard_join._near([base, less], 0.8)[0, 1]
+
+
 def test_recall_at_the_threshold():
     """Pairs of similarity just over 0.8 share a sampled root token in all but a few in a million."""
     rng = np.random.default_rng(2)
