@@ -16,7 +16,7 @@ import hashlib
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import doc_texts, pieces
+from .common import doc_texts, map_batches, pieces
 from .tokenization import byte_codec, default_path
 
 FIELDS = {"ids": ("binary", pa.binary()), "n_tokens": ("long", pa.int64()), "ids_sha256": ("string", pa.string()), "decoded_sha256": ("string", pa.string())}
@@ -42,7 +42,7 @@ def encode(documents: DataFrame, ranks_path: str | None = None, pattern: str | N
             made = {"ids": lambda: [x.tobytes() for x in each], "n_tokens": lambda: [len(x) // 4 for x in each], "ids_sha256": lambda: [sha(x) for x in each], "decoded_sha256": lambda: [sha(codec.decode(x)) for x in each]}
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(made[c](), t) for c, t in zip(columns, types[1:]))], names)
 
-    return doc_texts(documents, id_col, text_col).mapInArrow(run, "doc_id long, " + ", ".join(f"{c} {FIELDS[c][0]}" for c in columns))
+    return map_batches(doc_texts(documents, id_col, text_col), run, "doc_id long, " + ", ".join(f"{c} {FIELDS[c][0]}" for c in columns))
 
 
 def decode(encoded: DataFrame, ranks_path: str | None = None) -> DataFrame:
@@ -56,7 +56,7 @@ def decode(encoded: DataFrame, ranks_path: str | None = None) -> DataFrame:
         for batch in pieces(batches, 4000):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([codec.decode(x or b"") for x in batch.column(1).to_pylist()], pa.binary())], ["doc_id", "data"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, data binary")
+    return map_batches(encoded.select("doc_id", "ids"), run, "doc_id long, data binary")
 
 
 def query(spark, sf_dir):

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, read_table
+from .common import map_batches, pieces, read_table
 
 OPEN, ROLE_END, CLOSE = "<|turn|>", "<|says|>", "<|end|>"
 PLACEHOLDERS = {"image": "<|image|>", "audio": "<|audio|>", "document": "<|document|>"}
@@ -109,7 +109,7 @@ def format_turns(conversations: DataFrame, loss_roles: tuple[str, ...] = ("assis
                 out.append((conv_id, turn, *format_turn(role, [{"type": "text", "text": text}] if parts is None else parts, loss_roles)))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
 
-    return rows.mapInArrow(run, SEGMENTS)
+    return map_batches(rows, run, SEGMENTS)
 
 
 def read_back(segments: DataFrame) -> DataFrame:
@@ -147,7 +147,7 @@ def read_back(segments: DataFrame) -> DataFrame:
 
     dealt = segments.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "segment")
     schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_attachments long, expanded_tokens long"
-    return dealt.select("conv_id", "segment", "loss_start", "loss_end", "attachments").mapInArrow(run, schema)
+    return map_batches(dealt.select("conv_id", "segment", "loss_start", "loss_end", "attachments"), run, schema)
 
 
 def query(spark, sf_dir):

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RangeReader, doc_texts, filesystem, pieces, read_table, stage, staging
+from .common import doc_texts, filesystem, map_batches, pieces, read_table, stage, staging, RangeReader
 
 WIDTH = 64
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -132,7 +132,7 @@ def store(documents: DataFrame, root: str, level: int = 6, shard_bytes: int = 25
         if state["out"] is not None:
             yield from finish()
 
-    return doc_texts(documents, id_col, text_col).mapInArrow(run, "doc_id long, n_bytes long, digest string, shard string, offset long, length long")
+    return map_batches(doc_texts(documents, id_col, text_col), run, "doc_id long, n_bytes long, digest string, shard string, offset long, length long")
 
 
 def _dealt(media: DataFrame) -> DataFrame:
@@ -157,7 +157,7 @@ def header_columns(media: DataFrame) -> DataFrame:
         reader.close()
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in media.schema.fields)
-    return media.mapInArrow(run, schema + ", width long, height long, bit_depth long")
+    return map_batches(media, run, schema + ", width long, height long, bit_depth long")
 
 
 def decoded_columns(media: DataFrame) -> DataFrame:
@@ -187,7 +187,7 @@ def decoded_columns(media: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
         reader.close()
 
-    return media.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, width long, height long")
+    return map_batches(media, run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, width long, height long")
 
 
 def query(spark, sf_dir):

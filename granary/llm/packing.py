@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import doc_texts, pieces, read_table, stage, staging
+from .common import doc_texts, map_batches, pieces, read_table, stage, staging
 from .tokenization import default_path, word_encoder
 
 CAPACITY = 2048
@@ -155,7 +155,7 @@ def cut_documents(documents: DataFrame, tokenizer_path: str | None = None, end_i
                     ranks[len(part)] += 1
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
-    return doc_texts(documents, id_col, text_col).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, task long, rank_in_task long")
+    return map_batches(doc_texts(documents, id_col, text_col), run, "doc_id long, piece int, start long, length long, ids_crc32 long, task long, rank_in_task long")
 
 
 def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -175,7 +175,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(5)), pa.array(slot[:, 3] + rank - slot[:, 1]), pa.array(slot[:, 4])], names)
 
     ranked = cut.join(bases, ["length", "task"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("rank_in_task")).alias("rank"))
-    return ranked.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return map_batches(ranked, run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def pack_documents(spark, documents: DataFrame, **options) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_texts, pieces, read_table
+from .common import doc_texts, map_batches, pieces, read_table
 from .tokenization import plain_texts
 
 CLASSES = 64
@@ -133,7 +133,7 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, rank: int
             shares = term_shares(batch.column(1)).astype(np.float16)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in shares], pa.binary()), batch.column(2)], ["doc_id", "shares", "quality"])
 
-    rows = texts.select("doc_id", "text", "quality").mapInArrow(run, "doc_id long, shares binary, quality int").orderBy("doc_id", "shares").limit(2 * sample).collect()
+    rows = map_batches(texts.select("doc_id", "text", "quality"), run, "doc_id long, shares binary, quality int").orderBy("doc_id", "shares").limit(2 * sample).collect()
     if not rows:
         return Model(np.ones(TERMS, np.float32), np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0), neighbours, 0.5)
     shares = np.stack([np.frombuffer(r["shares"], np.float16) for r in rows]).astype(np.float32)
@@ -154,7 +154,7 @@ def score(documents: DataFrame, model: Model, threshold: float = THRESHOLD, id_c
             scores = shared.value.score(term_shares(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    scored = doc_texts(documents, id_col, text_col).mapInArrow(run, "doc_id long, score double, predicted int")
+    scored = map_batches(doc_texts(documents, id_col, text_col), run, "doc_id long, score double, predicted int")
     return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", "predicted")
 
 
@@ -167,7 +167,7 @@ def keep_good(documents: DataFrame, model: Model, threshold: float = THRESHOLD,
             scores = shared.value.score(term_shares(batch.column(batch.schema.get_field_index(text_col))))
             yield batch.filter(pa.array(scores >= threshold))
 
-    return documents.mapInArrow(run, documents.schema)
+    return map_batches(documents, run, documents.schema)
 
 
 def query(spark, sf_dir):

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import doc_texts, pieces, read_table
+from .common import doc_texts, map_batches, pieces, read_table
 from .tokenization import default_path, word_encoder
 
 BLOCK = 4096
@@ -32,7 +32,7 @@ def token_lengths(documents: DataFrame, tokenizer_path: str | None = None, id_co
             _, at = encoder.encode_column(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(at), pa.int64())], ["doc_id", "n_tokens"])
 
-    return doc_texts(documents, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long")
+    return map_batches(doc_texts(documents, id_col, text_col), run, "doc_id long, n_tokens long")
 
 
 def length_histogram(lengths: DataFrame, length_col: str = "n_tokens") -> DataFrame:

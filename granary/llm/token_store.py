@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import RangeReader, doc_texts, filesystem, pieces, read_table, stage, staging, write_atomically
+from .common import doc_texts, filesystem, map_batches, pieces, read_table, stage, staging, write_atomically, RangeReader
 from .tokenization import default_path, word_encoder
 
 WINDOW = 16
@@ -103,7 +103,7 @@ def _chunks(documents: DataFrame, path: str, end_id: int) -> DataFrame:
                 rows.append((doc_id, len(own), b"".join(digests), None, None))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
-    return documents.mapInArrow(run, "doc_id long, n_tokens long, digests binary, digest binary, data binary")
+    return map_batches(documents, run, "doc_id long, n_tokens long, digests binary, digest binary, data binary")
 
 
 def _pack(rows: DataFrame, root: str) -> DataFrame:
@@ -137,7 +137,7 @@ def _pack(rows: DataFrame, root: str) -> DataFrame:
 
     key = F.coalesce(F.col("digest"), F.unhex(F.sha1(F.col("doc_id").cast("string"))))
     dealt = rows.repartition(key).sortWithinPartitions("digest")
-    return dealt.mapInArrow(run, "doc_id long, n_tokens long, digests binary, digest binary, pack string, offset long, length long")
+    return map_batches(dealt, run, "doc_id long, n_tokens long, digests binary, digest binary, pack string, offset long, length long")
 
 
 def _write_recipes(recipes: DataFrame, root: str) -> DataFrame:
@@ -164,7 +164,7 @@ def _write_recipes(recipes: DataFrame, root: str) -> DataFrame:
         yield pa.RecordBatch.from_pylist([{"part": part, "file": uri, "documents": len(roots), "tokens": tokens, "root": merkle_root(roots)}], pa.schema([("part", pa.int64()), ("file", pa.string()), ("documents", pa.int64()), ("tokens", pa.int64()), ("root", pa.binary())]))
 
     ordered = recipes.select("doc_id", "n_tokens", "digests").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "n_tokens", "digests")
-    return ordered.mapInArrow(run, "part long, file string, documents long, tokens long, root binary")
+    return map_batches(ordered, run, "part long, file string, documents long, tokens long, root binary")
 
 
 def write_store(documents: DataFrame, root: str, tokenizer_path: str | None = None, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -204,7 +204,7 @@ def read_recipes(manifest: DataFrame) -> DataFrame:
                     raise ValueError(f"{entry['file']}: root differs")
         reader.close()
 
-    return manifest.repartition("part").mapInArrow(run, "part long, place long, doc_id long, n_tokens long, root binary, at long, digest binary")
+    return map_batches(manifest.repartition("part"), run, "part long, place long, doc_id long, n_tokens long, root binary, at long, digest binary")
 
 
 def read_store(index: DataFrame, manifest: DataFrame, id_bytes: int = 2, with_ids: bool = False) -> DataFrame:
@@ -253,7 +253,7 @@ def read_store(index: DataFrame, manifest: DataFrame, id_bytes: int = 2, with_id
         reader.close()
 
     wanted = dealt.select("part", "place", "doc_id", "n_tokens", "root", "digest", "pack", "offset", "length")
-    rebuilt = wanted.mapInArrow(run, "part long, doc_id long, shift long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
+    rebuilt = map_batches(wanted, run, "part long, doc_id long, shift long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
     return rebuilt.join(F.broadcast(bases), "part").select("doc_id", (F.col("base") + F.col("shift")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * with_ids)
 
 

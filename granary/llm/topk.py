@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import read_table, ship
 
 K, SCALE = 20, 64
 LEAF, FANOUT, CHUNK = 48, 16, 1024  # rows of a leaf, children, data rows compared at once
@@ -184,6 +184,7 @@ def top_k(queries: DataFrame, data: DataFrame, k: int = K, query_block: int = 40
         return pa.table([pa.array(c, pa.int64()) for c in zip(*rows)], schema=schema) if rows else schema.empty_table()
 
     keys = ["qb", "db", "size"]
+    ship(queries.sparkSession)
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
