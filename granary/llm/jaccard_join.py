@@ -16,12 +16,15 @@ by brute force in pairs of blocks.  Nothing is dropped for size.
 
 Brute force goes in two passes.  First pools alone are compared: a node without any partner of estimated similarity
 ``loose`` leaves the bucket, and a bucket falls into the components of what is left; equal sets of members become
-one bucket.  Then the whole sets of the rest are compared exactly.
+one bucket.  Then the whole sets of the rest are compared exactly.  The estimate: the pool of the larger set of a pair
+is sampled at the smaller rate, so what the pools share is what the smaller set holds of it; that share of
+the pool stands for the share of the larger set, and the sizes are known.
 
 Recall.  A pair of similarity 0.8 has 0.8 ``roots`` = 12.8 common paths on level 1 in the mean, and keeps each on
 a further level with probability 0.8, independently: it is lost with probability at most 3e-6 at level 1, 4e-5, 1e-4
-and 2e-4 if all common buckets are so large that two, three, four levels are needed; less above 0.8.  The estimate
-of 0.5 for a pair of 0.8 is over six standard deviations off.
+and 2e-4 if all common buckets are so large that two, three, four levels are needed; less above 0.8.  The pool pass
+is the same in all buckets and adds at most 4e-10: for a pair of 0.8 whose one set contains the other, a share of 0.42
+(similarity 0.3) of the larger pool instead of 0.8 is over seven standard deviations off; equal sizes are further off.
 
 Cost.  Links are counted where they are found, at the least bucket that both nodes have in common, so no pair is
 counted twice and none leaves its task: a bucket returns a count a node and a star of edges a component.
@@ -46,7 +49,7 @@ from .tokenization import plain_texts
 
 WORDS, THRESHOLD = 5, 0.8
 ROOTS, BRANCHES, LEVELS, POOL = 16, 2, 4, 64
-BLOCK, DENSE, LOOSE = 2048, 0.5, 0.5
+BLOCK, DENSE, LOOSE = 2048, 0.5, 0.3
 NO_ID = -(1 << 63)
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
@@ -178,23 +181,23 @@ def loose_buckets(members: DataFrame, nodes: DataFrame, loose: float = LOOSE, bl
 
     A bucket in one block is replaced by its components; its new path is a hash of their members.
     """
-    where = "path long, a int, b int, own int, m long, key binary, pool binary"
-    names = ["path", "a", "b", "own", "m", "key", "pool"]
-    types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+    where = "path long, a int, b int, own int, m long, key binary, n long, pool binary"
+    names = ["path", "a", "b", "own", "m", "key", "n", "pool"]
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.binary()]
 
     def spread(batches):
         for batch in pieces(batches, 4000):
             out = []
-            for path, key, m, pool in zip(*(c.to_pylist() for c in batch.columns)):
+            for path, key, m, size, pool in zip(*(c.to_pylist() for c in batch.columns)):
                 data = np.unique(np.array(pool, np.int32)).tobytes()
-                out += [(path, a, b, own, m, key, data) for a, b, own in _blocks(key, m, block)]
+                out += [(path, a, b, own, m, key, size, data) for a, b, own in _blocks(key, m, block)]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
 
     def finish(key, nodes):
         n = len(nodes)
         if n < 2:
             return []
-        near = _near([x[2] for x in nodes], loose)
+        near = _perhaps_near([x[2] for x in nodes], np.array([x[3] for x in nodes], np.float64), loose)
         if key[1] != key[2]:
             own = np.array([x[0] for x in nodes])
             near &= own[:, None] != own[None, :]
@@ -211,19 +214,19 @@ def loose_buckets(members: DataFrame, nodes: DataFrame, loose: float = LOOSE, bl
         names, types = ["path", "key", "m"], [pa.int64(), pa.binary(), pa.int64()]
         current, nodes, out = None, [], []
         for batch in pieces(batches, 4000):
-            for path, a, b, own, m, key, pool in zip(*(c.to_pylist() for c in batch.columns)):
+            for path, a, b, own, m, key, size, pool in zip(*(c.to_pylist() for c in batch.columns)):
                 if current != (path, a, b, m):
                     if current:
                         out += finish(current, nodes)
                     current, nodes = (path, a, b, m), []
-                nodes.append((own, key, np.frombuffer(pool, np.int32)))
+                nodes.append((own, key, np.frombuffer(pool, np.int32), size))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
                 out = []
         if current and (out := finish(current, nodes)):
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
 
-    pooled = map_batches(members.join(nodes.select("key", "pool"), "key").select("path", "key", "m", "pool"), spread, where)
+    pooled = map_batches(members.join(nodes.select("key", "n", "pool"), "key").select("path", "key", "m", "n", "pool"), spread, where)
     dealt = pooled.repartition("path", "a", "b").sortWithinPartitions("path", "a", "b", "key")
     return map_batches(dealt, run, "path long, key binary, m long").distinct()
 
@@ -272,13 +275,29 @@ def _common(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
     return total
 
 
-def _near(sets: list[np.ndarray], threshold: float) -> np.ndarray:
-    """Which pairs of sorted sets have this similarity."""
+def _shared(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of pairs of different sorted sets."""
     if len(sets) == 2:
         common = np.zeros((2, 2))
         common[0, 1] = common[1, 0] = len(np.intersect1d(*sets, assume_unique=True))
-    else:
-        common = _common(sets).astype(np.float64)  # whole numbers: exact in either width
+        return common
+    return _common(sets).astype(np.float64)  # whole numbers: exact in either width
+
+
+def _perhaps_near(pools: list[np.ndarray], sizes: np.ndarray, threshold: float) -> np.ndarray:
+    """Which pairs of sets of these sizes have this similarity by the estimate from their sorted pools."""
+    common, held = _shared(pools), np.array([len(x) for x in pools], np.float64)
+    first, second = sizes[:, None], sizes[None, :]
+    larger = np.where(first > second, held[:, None], np.where(first < second, held[None, :], np.minimum(held[:, None], held[None, :])))
+    share = threshold / (1 + threshold) * (1 + np.minimum(first, second) / np.maximum(first, second))  # of the larger set
+    near = common >= share * larger - 1e-6
+    np.fill_diagonal(near, False)
+    return near
+
+
+def _near(sets: list[np.ndarray], threshold: float) -> np.ndarray:
+    """Which pairs of sorted sets have this similarity."""
+    common = _shared(sets)
     sizes = np.array([len(x) for x in sets], np.float64)
     near = common * (1 + threshold) >= threshold * (sizes[:, None] + sizes[None, :]) - 1e-6
     np.fill_diagonal(near, False)

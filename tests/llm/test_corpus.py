@@ -122,6 +122,22 @@ def test_recall_at_the_threshold():
     assert missed <= 1
 
 
+def test_pools_keep_containment_pairs(spark):
+    """A text and its copy with a quarter appended have similarity 0.8: the pool pass keeps every such pair."""
+    pairs, roots = 20_000, np.random.default_rng(5).integers(0, 1 << 62, 20_000, dtype=np.uint64)
+    members, nodes = [], []
+    for i, root in enumerate(roots.tolist()):
+        hashes = jaccard_join._mix(np.uint64(root) + np.arange(1500, dtype=np.uint64))
+        for j, n in enumerate((1200, 1500)):
+            pool = hashes[:n][hashes[:n] <= np.uint64(int(2.0**64 * jaccard_join.POOL / n))]
+            key = i.to_bytes(8, "big") + j.to_bytes(8, "big")
+            members.append((i, key, 2))
+            nodes.append((key, n, (jaccard_join._mix(pool) & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32).tolist()))
+    members = spark.createDataFrame(members, "path long, key binary, m long")
+    nodes = spark.createDataFrame(nodes, "key binary, n long, pool array<int>")
+    assert jaccard_join.loose_buckets(members, nodes).count() == 2 * pairs
+
+
 # ---- operator 7
 
 
