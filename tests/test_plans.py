@@ -94,6 +94,12 @@ def test_sums_agree(spark, sf_dir):
     assert run("qa_semi")[0]["count"] <= lines
 
 
+def test_products_cover_every_order(spark, sf_dir):
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    got = registry.QUERIES["prim_products_all"](spark, sf_dir).collect()
+    assert len(got) == lines.select("l_orderkey").distinct().count() and sum(r["count"] for r in got) == lines.count()
+
+
 def test_entry_and_names(spark):
     import __spark_entry__ as entry
 
