@@ -10,7 +10,9 @@ Queries meet all data in blocks: queries are dealt into blocks of about ``query_
 blocks of about ``data_block``, and a task holds one of each.  Its k best per query go on to a merge by query.
 
 A component x becomes floor(64 x).  Vectors that are null or hold null or non-finite components take no
-part; vectors of different lengths have no product.  Of repeated ids the least vector counts.  A query with fewer than k
+part; vectors of different lengths have no product.  Every row is a candidate, also of a repeated id, but for the rows
+of the query's own id, as in the SQL; query rows of one id share its k places.  Equal rows beyond the k-th can't be in a
+result and are left out before the search.  Ties go by id; rows equal in id and score can't be told apart in the result.  A query with fewer than k
 candidates gets them all; an empty table gives no rows.  Scores beyond 64 bits are clipped.
 """
 
@@ -147,20 +149,21 @@ class Search:
         self.worst[rows] = self.scores[rows, -1]
 
 
-def integer_vectors(embeddings: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """vec_id, v (integers): the rows that take part."""
+def integer_vectors(embeddings: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", copies: int = 1) -> DataFrame:
+    """vec_id, v (integers): the rows that take part, of equal ones up to ``copies``."""
     v = F.col("v")
     rows = embeddings.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     rows = rows.filter(F.col("vec_id").isNotNull() & v.isNotNull() & F.coalesce(finite, F.lit(False)))
-    return rows.select("vec_id", F.transform(v, lambda x: F.floor(x * SCALE).cast("long")).alias("v")).groupBy("vec_id").agg(F.min("v").alias("v"))
+    rows = rows.select("vec_id", F.transform(v, lambda x: F.floor(x * SCALE).cast("long")).alias("v")).groupBy("vec_id", "v").agg(F.count(F.lit(1)).alias("copies"))
+    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.least("copies", F.lit(copies)).cast("int")))).select("vec_id", "v")
 
 
 def top_k(queries: DataFrame, data: DataFrame, k: int = K, query_block: int = 4096, data_block: int = 8192) -> DataFrame:
     """query_id, rank, vec_id, score; both sides as ``integer_vectors`` gives them."""
     n_queries, n_data = queries.count(), data.count()
     parts = [max(1, -(-n_queries // query_block)), max(1, -(-n_data // data_block))]
-    block = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
+    block = lambda n: F.pmod(F.xxhash64("vec_id", "v"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     size = F.size("v").alias("size")
     left = queries.select("vec_id", "v", size, block(parts[0]).alias("qb"), every(parts[1]).alias("db"))
@@ -191,7 +194,7 @@ def top_k(queries: DataFrame, data: DataFrame, k: int = K, query_block: int = 40
 
 
 def query(spark, sf_dir):
-    data = integer_vectors(read_table(spark, sf_dir, "embeddings"))
+    data = integer_vectors(read_table(spark, sf_dir, "embeddings"), copies=K)
     return top_k(data.filter(F.col("vec_id") % 20 == 0), data)
 
 

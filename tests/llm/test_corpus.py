@@ -328,6 +328,18 @@ def test_top_k_of_odd_rows(spark):
     assert topk.top_k(data.limit(0), data).collect() == [] and topk.top_k(data, data.limit(0)).collect() == []
 
 
+def test_top_k_of_repeated_ids_equals_sql(spark, tmp_path):
+    """Rows of one id with other vectors, or equal ones, are candidates and queries of their own."""
+    rng = np.random.default_rng(3)
+    rows = [(int(i), rng.integers(-3, 4, 3).tolist()) for i in rng.integers(0, 60, 150)]
+    rows += [(7, [9, 9, 9])] * 25 + [(20, [1, 2, 3])] * 25 + [(40, [-1, 0, 1]), (40, [2, 0, 1])]
+    frame = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in rows], "vec_id long, embedding array<float>")
+    frame.write.parquet(f"{tmp_path}/embeddings.parquet")
+    c = duckdb.connect()
+    c.execute(f"create view embeddings as select * from read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    assert sorted(map(tuple, topk.query(spark, str(tmp_path)).collect())) == sorted(c.execute(topk.ORACLE).fetchall())
+
+
 # ---- pipeline
 
 
