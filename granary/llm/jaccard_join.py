@@ -22,7 +22,8 @@ the pool stands for the share of the larger set, and the sizes are known.
 
 Recall.  A pair of similarity 0.8 has 0.8 ``roots`` = 12.8 common paths on level 1 in the mean, and keeps each on
 a further level with probability 0.8, independently: it is lost with probability at most 3e-6 at level 1, 4e-5, 1e-4
-and 2e-4 if all common buckets are so large that two, three, four levels are needed; less above 0.8.  The pool pass
+and 2e-4 if all common buckets are so large that two, three, four levels are needed; less above 0.8.  Sets of up to
+16 have fewer common roots (4 of 5) and one branch more: at most 1e-6 for them.  The pool pass
 is the same in all buckets and adds at most 4e-10: for a pair of 0.8 whose one set contains the other, a share of 0.42
 (similarity 0.3) of the larger pool instead of 0.8 is over seven standard deviations off; equal sizes are further off.
 
@@ -49,6 +50,7 @@ from .tokenization import plain_texts
 
 WORDS, THRESHOLD = 5, 0.8
 ROOTS, BRANCHES, LEVELS, POOL = 16, 2, 4, 64
+SHORT = 16  # sets of up to so many shingles have one branch more
 BLOCK, DENSE, LOOSE = 2048, 0.5, 0.3
 NO_ID = -(1 << 63)
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -145,7 +147,8 @@ def buckets(nodes: DataFrame, root: str, block: int = BLOCK, dense: float = DENS
             sizes.append(own.filter(F.col("m") > block))
             break
         inside = rows.join(large, "path").join(nodes.select("key", "n", "pool"), "key")
-        rate = F.lit(float(branches) * (1 << 40)) / F.least(F.size("pool"), F.lit(POOL))
+        further = F.lit(branches) + F.when(F.col("n") <= SHORT, 1).otherwise(0)
+        rate = further * F.lit(float(1 << 40)) / F.least(F.size("pool"), F.lit(POOL))
         chosen = F.filter("pool", lambda t: F.xxhash64(F.col("path"), t, F.lit(d)).bitwiseAND((1 << 40) - 1) < rate)
         children = inside.select("key", F.col("path").alias("parent"), "m", F.explode(chosen).alias("t"))
         children = stage(children.withColumn("path", F.xxhash64("parent", "t", F.lit(d))), f"{root}/level{d + 1}")

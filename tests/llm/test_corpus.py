@@ -138,6 +138,20 @@ def test_pools_keep_containment_pairs(spark):
     assert jaccard_join.loose_buckets(members, nodes).count() == 2 * pairs
 
 
+def test_short_sets_stay_together(spark, tmp_path):
+    """Sets of 4 and 5 shingles share a bucket after a further level, although only 4 tokens are common."""
+    rng, pairs, nodes = np.random.default_rng(8), 20_000, []
+    for i in range(pairs):
+        own = rng.integers(-(1 << 31), 1 << 31, 5).tolist()
+        # the roots of all pairs are the same: every bucket is too large for its block
+        nodes += [(i.to_bytes(8, "big") + bytes([n]), n, list(range(n)), own[:n]) for n in (4, 5)]
+    frame = spark.createDataFrame(nodes, "key binary, n long, roots array<long>, pool array<int>")
+    frame.write.parquet(f"{tmp_path}/nodes")
+    got = jaccard_join.buckets(spark.read.parquet(f"{tmp_path}/nodes"), str(tmp_path), block=100, levels=2)
+    got = got.selectExpr("path", "substr(key, 1, 8) as pair").groupBy("path", "pair").count().filter("count = 2")
+    assert got.select("pair").distinct().count() == pairs
+
+
 # ---- operator 7
 
 
