@@ -1,4 +1,4 @@
-"""Operator 9: removal of repeated runs of lines, by winnowing over line hashes.  Native: DataFrame functions only.
+"""Operator 9: removal of repeated runs of lines, by windows of equal content.  Native: DataFrame functions only.
 
 A run is a sequence of consecutive non-blank lines of one document.  A run of at least ``min_words``
 words whose lines occur, in the same order and without other non-blank lines between, at an earlier
@@ -8,9 +8,9 @@ Shorter repeats (a licence line, a heading) stay: they are the noise that the th
 Method: for each line, the shortest window of lines from it on, and the shortest up to it, that have
 ``min_words`` words.  The least line hash of a window is its fingerprint; a run of enough words holds a
 window, so equal runs share a fingerprint wherever they stand.  Fingerprints that occur at two places or
-more are joined with their positions; the lines around them are compared by the windows' contents
-(128-bit hashes), forward and backward, and equal windows join up to the whole run: every line of a long
-enough run lies in a forward or a backward window inside it, so the extension reaches both ends exactly.
+more are kept: a prefilter, which drops no window of equal content.  What is left is matched by the windows' contents
+(128-bit hashes), and equal windows join up to the whole run: every line of a long
+enough run lies in a forward or a backward window inside it, so the windows reach both ends exactly.
 
 No group is collected: counts and first places are aggregated before the shuffle, windows meet the
 first place of their content by a join that the adaptive skew join can split, and what is gathered for one
