@@ -1,6 +1,7 @@
-"""Small literal fixtures for operators, functions, sources and generators."""
+"""Operators, functions, sources and generators: rows from seeded generators against plain Python."""
 
 import datetime
+import random
 from collections import Counter
 from decimal import Decimal
 
@@ -12,54 +13,84 @@ from granary import operators as op
 from granary.sources import datagen, schemas, tables
 
 
+def made(seed, rows, *largest):
+    """Rows of random integers, column i from 0 to largest[i]."""
+    rng = random.Random(seed)
+    return [tuple(rng.randrange(top + 1) for top in largest) for _ in range(rows)]
+
+
+def table_of(spark, rows, *names, kind="long"):
+    return spark.createDataFrame(rows, ", ".join(f"{n} {kind}" for n in names))
+
+
+def bag(df):
+    return Counter(map(tuple, df.collect()))
+
+
 def longs(spark, name, values):
-    return spark.createDataFrame([(v,) for v in values], f"{name} long")
+    return table_of(spark, [(v,) for v in values], name)
 
 
-def pairs(spark, keys, values=None):
-    return spark.createDataFrame(list(zip(keys, values or [100 + k for k in keys])), "k long, v long")
+def pairs(spark, keys, values):
+    return table_of(spark, list(zip(keys, values)), "k", "v")
 
 
-def matched(df):
-    return Counter(r["v"] for r in df.collect())
+@pytest.mark.parametrize("op_name", ["eq", "ge", "gt", "le", "lt"])
+def test_select_dates(spark, op_name):
+    start = datetime.date(1996, 2, 20)
+    rows = [(i, start + datetime.timedelta(days=d)) for i, (d,) in enumerate(made(3, 60, 15))]
+    limit = start + datetime.timedelta(days=8)
+    days = spark.createDataFrame(rows, "i int, d date")
+    want = [i for i, d in rows if fn.exprs.COMPARATORS[op_name](d, limit)]
+    assert want and sorted(r["i"] for r in op.select(days, fn.compare(op_name, "d", limit)).collect()) == want
+    assert op.select(days).count() == len(rows)
 
 
-def test_select_dates(spark):
-    days = spark.createDataFrame([(i, datetime.date(2017, 1, d)) for i, d in enumerate((1, 4, 2, 3, 4))], "i int, d date")
-    assert sorted(r["i"] for r in op.select(days, fn.compare("ge", "d", datetime.date(2017, 1, 3))).collect()) == [1, 3, 4]
-    assert op.select(days).count() == 5
+@pytest.mark.parametrize("build_keys,probe_keys", [(400, 900), (30, 40), (5, 9)])  # hardly, often and always repeated
+def test_joins(spark, build_keys, probe_keys):
+    left, right = made(build_keys, 250, probe_keys, 50), made(probe_keys, 120, build_keys, 1000)
+    probe, build = table_of(spark, left, "b", "w"), table_of(spark, right, "k", "v")
 
+    def inner(probes, builds):
+        return Counter((b, w, k, v) for b, w in probes for k, v in builds if b == k)
 
-def test_joins(spark):
-    build = pairs(spark, [1, 3, 4, 8])
-    probe = longs(spark, "b", [88, 1, 1, 17, 4] + [1, 2, 3, 4] * 5)
-    assert matched(op.hash_join(probe, build, ["b"], ["k"])) == {101: 7, 103: 5, 104: 6}
-    assert op.semi_join(probe, build, ["b"], ["k"]).count() == 18
-    repeated = pairs(spark, [1] * 5 + [3, 4, 8])
-    assert matched(op.hash_join(longs(spark, "b", [88, 1, 26, 4, 9]), repeated, ["b"], ["k"])) == {101: 5, 104: 1}
-    assert op.semi_join(longs(spark, "b", [88, 1, 26, 4, 9]), repeated, ["b"], ["k"]).count() == 2
-    wide = op.select(pairs(spark, [1, 3, 4, 8, 22, 33, 44, 55, 34]), fn.compare("gt", "v", 103))
-    assert matched(op.hash_join(longs(spark, "b", [88, 1, 1, 17, 4, 3, 44, 44]), wide, ["b"], ["k"])) == {104: 1, 144: 2}
-    few = op.select(longs(spark, "b", [88, 8, 1, 1, 17, 4] + [3] * 12), fn.compare("lt", "b", 4))
-    assert matched(op.hash_join(few, build, ["b"], ["k"])) == {101: 2, 103: 12}
+    assert bag(op.hash_join(probe, build, ["b"], ["k"])) == inner(left, right)
+    held = {k for k, _ in right}
+    assert bag(op.semi_join(probe, build, ["b"], ["k"])) == Counter(r for r in left if r[0] in held)
+    upper = op.select(build, fn.compare("gt", "v", 600))
+    assert bag(op.hash_join(probe, upper, ["b"], ["k"])) == inner(left, [r for r in right if r[1] > 600])
+    few = op.select(probe, fn.compare("lt", "w", 20))
+    assert bag(op.hash_join(few, build, ["b"], ["k"])) == inner([r for r in left if r[1] < 20], right)
+    both = Counter((b, w, k, v) for b, w in left for k, v in right if b == k and w == v % 51)
+    assert bag(op.hash_join(probe, build.withColumn("m", F.col("v") % 51), ["b", "w"], ["k", "m"]).drop("m")) == both
+    assert op.hash_join(probe, build.limit(0), ["b"], ["k"]).count() == 0
 
 
 def test_first_match_and_star_probe(spark):
     build = pairs(spark, [1, 1, 2], [7, 5, 9])
     assert {(r["k"], r["v"]) for r in op.first_match(build, "k", ["v"]).collect()} == {(1, 5), (2, 9)}
     fact = spark.createDataFrame([(1, 2), (1, 9), (5, 2)], "a long, b long")
-    assert op.star_probe(fact, [(pairs(spark, [1, 1]), "a", "k"), (pairs(spark, [2, 3]), "b", "k")]).count() == 1
+    assert op.star_probe(fact, [(longs(spark, "k", [1, 1]), "a", "k"), (longs(spark, "k", [2, 3]), "b", "k")]).count() == 1
 
 
 def test_groups(spark):
-    rows = list(zip([1, 1, 1, 1, 1, 3, 4, 8], [1, 2, 1, 1, 2, 9, 17, 4], [4, 8, 16, 1, 2, 3, 17, 4]))
-    want = {(1, 1): 21, (1, 2): 10, (3, 9): 3, (4, 17): 17, (8, 4): 4}
-    grouped = op.hash_group(spark.createDataFrame(rows, "k1 long, k2 int, v long"), ["k1", "k2"], s=F.sum("v"))
-    assert {(r["k1"], r["k2"]): r["s"] for r in grouped.collect()} == want
-    more = list(zip([1, 44, 1, 1, 44, 1, 44, 44, 44, 1, 3, 4, 8], [1, 33, 2, 1, 22, 1, 99, 11, 11, 2, 9, 17, 4], [4, 99, 8, 16, 88, 1, 33, 33, 22, 2, 3, 17, 4]))
-    kept = op.select(spark.createDataFrame(more, "k1 long, k2 int, v long"), fn.compare("lt", "v", 20))
-    assert {(r["k1"], r["k2"]): r["s"] for r in op.hash_group(kept, ["k1", "k2"], s=F.sum("v")).collect()} == want
-    assert op.having(grouped, F.col("s") > 10).count() == 2
+    rows = made(11, 300, 6, 3, 90)
+
+    def sums(some):
+        out = Counter()
+        for a, b, v in some:
+            out[a, b] += v
+        return dict(out)
+
+    def grouped(df):
+        return {(r["k1"], r["k2"]): r["s"] for r in df.collect()}
+
+    df = spark.createDataFrame(rows, "k1 long, k2 int, v long")
+    groups = op.hash_group(df, ["k1", "k2"], s=F.sum("v"))
+    assert grouped(groups) == sums(rows)
+    kept = op.select(df, fn.compare("lt", "v", 25))
+    assert grouped(op.hash_group(kept, ["k1", "k2"], s=F.sum("v"))) == sums(r for r in rows if r[2] < 25)
+    assert grouped(op.having(groups, F.col("s") > 500)) == {k: v for k, v in sums(rows).items() if v > 500}
 
 
 def test_fixed_aggregate_of_nothing_is_one_row(spark):
@@ -68,9 +99,11 @@ def test_fixed_aggregate_of_nothing_is_one_row(spark):
 
 
 def test_cluster_by_key(spark):
-    dealt = op.cluster_by_key(longs(spark, "k", [1, 2, 3, 4, 5, 1, 2, 3, 4, 5, 6, 9]), 5, "k").withColumn("p", F.spark_partition_id())
-    assert all(r["n"] == 1 for r in dealt.groupBy("k").agg(F.count_distinct("p").alias("n")).collect())
-    assert Counter(r["count"] for r in dealt.groupBy("k").count().collect()) == {2: 5, 1: 2}
+    keys = [k for k, in made(17, 200, 23)]
+    dealt = op.cluster_by_key(longs(spark, "k", keys), 5, "k").withColumn("p", F.spark_partition_id()).collect()
+    assert Counter(r["k"] for r in dealt) == Counter(keys)
+    assert all(len({r["p"] for r in dealt if r["k"] == k}) == 1 for k in set(keys))
+    assert all(a["k"] <= b["k"] for a, b in zip(dealt, dealt[1:]) if a["p"] == b["p"])
 
 
 def test_multimap_splits_frequent_keys(spark):
