@@ -1,7 +1,8 @@
 """Operators 6, 7, 9, 10 and the pipeline against brute force."""
 
 import random
-from collections import defaultdict
+import zlib
+from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
@@ -160,8 +161,6 @@ def test_quality(spark, sf_dir, documents):
     model = quality.fit(documents, labels)
     scored = {r["doc_id"]: r for r in quality.score(documents, model).collect()}
     assert len(scored) == documents.count()
-    import zlib
-
     right = total = 0
     for r in labels.collect():
         s = scored[r["doc_id"]]
@@ -178,7 +177,7 @@ def test_votes_equal_brute_force(documents):
     rng = np.random.default_rng(0)
     texts = [r["text"] for r in documents.limit(60).collect()]
     shares = quality.term_shares(pa.array(texts))
-    model = quality.Model(np.ones(quality.TERMS, np.float32), quality.leading_axes(shares, 8), np.zeros((0, 8)), np.zeros(0), 5, 0.5)
+    model = quality.Model(np.ones(quality.TERMS, np.float32), quality.leading_axes(shares, 8), np.zeros((0, 8)), np.zeros(0), 5, 0.5, 8)
     model.vectors, model.labels = model.latent(shares[:40]), rng.integers(0, 2, 40).astype(float)
     latent = model.latent(shares)
     for row, got in zip(latent, model.score(shares)):
@@ -187,13 +186,63 @@ def test_votes_equal_brute_force(documents):
         assert got == pytest.approx(sum(w * y for w, (_, y) in zip(weights, near)) / sum(weights), abs=1e-3)
 
 
+def brute_terms(text):
+    """Shares by kind of term: byte pairs, word shapes (unhashed), recency."""
+    raw = (text or "").encode()
+    pairs = Counter((int(quality.CLASS_OF[a]), int(quality.CLASS_OF[b])) for a, b in zip(raw, raw[1:]))
+    shapes, last, recency = Counter(), {}, Counter()
+    for place, word in enumerate(w for w in (text or "").replace("\n", " ").split(" ") if w):
+        recency[(place - last[word]).bit_length() if word in last else 0] += 1
+        last[word] = place
+    for word in (text or "").split():
+        signs = [int(quality.SHAPE_OF[b]) for b in word.encode()]
+        shapes[tuple(k for k, before in zip(signs, [0, *signs]) if k != before)] += 1
+    return [{k: n / c.total() for k, n in c.items()} for c in (pairs, shapes, recency)]
+
+
 def test_term_shares():
-    texts = ["ab ab ab", "", None, "A1 b", "x"]
-    shares = quality.term_shares(pa.array(["skip", *texts]).slice(1))
-    assert shares.shape == (5, quality.TERMS)
-    assert shares[0, -1] ** 2 == pytest.approx(2 / 3) and shares[1:, -1].max() == 0
-    assert not shares[1].any() and not shares[2].any() and not shares[4].any()
-    assert shares[0, :-1].max() ** 2 == pytest.approx(3 / 7)  # "ab" of seven pairs
+    texts = ["ab ab ab", "", None, "A1 b", "x", "Été 12% -- (a)b\tc  d\ne", "one two one two two " * 40]
+    shares = quality.term_shares(pa.array(["skip", *texts]).slice(1)).astype(float) ** 2
+    assert shares.shape == (len(texts), quality.TERMS)
+    ends = np.cumsum([0, quality.PAIRS, quality.SHAPES, quality.RECENCY])
+    for row, text in zip(shares, texts):
+        pairs, shapes, recency = brute_terms(text)
+        got = [{i: x for i, x in enumerate(row[a:z]) if x} for a, z in zip(ends, ends[1:])]
+        assert got[0] == pytest.approx({a * quality.CLASSES + b: x for (a, b), x in pairs.items()})
+        assert sorted(got[1].values()) == pytest.approx(sorted(shapes.values()))
+        assert got[2] == pytest.approx(recency)
+
+
+def test_latent_space_is_the_leading_one(documents):
+    """Axes span the leading right singular vectors of the weighted rows; vectors are the rows in that space."""
+    rows = quality.term_shares(pa.array([r["text"] for r in documents.limit(90).collect()]))
+    labels = np.random.default_rng(1).integers(0, 2, len(rows)).astype(float)
+    model = quality.learn(rows, labels, rank=6)
+    held = (rows > 0).sum(0)
+    assert model.weights == pytest.approx(np.log((1 + len(rows)) / (1 + held)) + 1, rel=1e-5)
+    weighted = rows * model.weights
+    weighted /= np.maximum(np.linalg.norm(weighted, axis=1, keepdims=True), 1e-9)
+    _, strength, exact = np.linalg.svd(weighted.astype(float), full_matrices=False)
+    assert np.linalg.norm(weighted @ model.axes, axis=0) == pytest.approx(strength[:6], rel=1e-2)
+    assert np.linalg.norm(exact[:3] @ model.axes, axis=1) == pytest.approx(1, abs=1e-2)
+    assert np.linalg.norm(model.vectors, axis=1) == pytest.approx(1, abs=1e-3)
+    assert model.vectors == pytest.approx(model.latent(rows), abs=1e-4)
+
+
+def test_held_out_order(documents, sf_dir, spark):
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    scored = quality.score(documents, quality.fit(documents, labels)).filter("held_out").join(labels, "doc_id").select("score", "quality").collect()
+    good, bad = ([r["score"] for r in scored if r["quality"] == k] for k in (1, 0))
+    assert good and bad and sum((g > b) + 0.5 * (g == b) for g in good for b in bad) / (len(good) * len(bad)) >= 0.95
+
+
+def test_repeated_ids_teach_once(spark):
+    rows = [(1, "aa bb"), (1, "cc dd ee"), (1, "aa bb"), (2, "x"), (2, None), (5, "held out or not")]
+    labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    model = quality.fit(frame(spark, rows), labels)
+    assert len(model.vectors) == len(model.labels) == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in (1, 2))
+    again = quality.fit(frame(spark, rows[::-1]).repartition(3), labels)
+    assert (again.vectors == model.vectors).all()
 
 
 def test_quality_of_odd_rows(spark):
