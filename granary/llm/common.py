@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import os
 import shutil
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -58,11 +59,6 @@ def shared_root(spark: SparkSession) -> str:
     return root
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_root(spark))
-
-
 def staging(spark: SparkSession, label: str) -> str:
     """A new folder under the shared root; removed when the driver ends."""
     path = f"{shared_root(spark)}/granary-{label}-{uuid.uuid4().hex}"
@@ -78,11 +74,18 @@ def drop_path(spark: SparkSession, path: str) -> None:
 
 
 def _drop_staged() -> None:
+    from pyarrow import fs
+
     for spark, path in _STAGED:
         try:
             drop_path(spark, path)
-        except Exception:  # noqa: BLE001 - the session may be gone; leftovers are harmless
-            return
+        except Exception:  # noqa: BLE001 - the session is gone: without it
+            try:
+                system, folder = filesystem(path)
+                if system.get_file_info(folder).type == fs.FileType.Directory:
+                    system.delete_dir(folder)
+            except Exception as error:  # noqa: BLE001 - the interpreter ends
+                print(f"left behind: {path} ({error})", file=sys.stderr)
 
 
 def stage(df: DataFrame, path: str) -> DataFrame:

@@ -6,9 +6,10 @@ class (the least document id among those connected by links) and its number of l
 ``threshold`` or more).
 
 Method.  Documents of equal sets are one node with a number of copies.  A path is a sequence of
-sampled tokens that a set holds: level 1 samples each token of a set of n with probability ``roots`` / n,
-by one hash for all sets, so similar sets sample the same tokens; that is as many repeated runs as ``roots``
-stands for.  Nodes that share a path meet in its bucket.  A bucket of up to ``block`` nodes is compared by brute
+sampled tokens that a set holds.  Each root is one run of the recursion: it samples one token of a set in the mean (each token of a
+set of n with probability ``runs`` / n for all runs together, by one hash for all sets, so similar sets sample the same tokens), and
+runs are repeated until the target recall is met (``runs_for``); all runs go through the same plan at once.  Nodes that share a path meet
+in its bucket.  A bucket of up to ``block`` nodes is compared by brute
 force.  A larger one is split again: each path samples ``branches`` further tokens of each set, by a hash of
 its own, from a pool of ``pool`` tokens sampled alike for all sets; sets that share few tokens part at every level.
 A bucket that is dense (its nodes share most of their samples), or large at the last level, is compared
@@ -16,11 +17,13 @@ by brute force in pairs of blocks.  Nothing is dropped for size.
 
 Brute force goes in two passes.  First pools alone are compared: a node without any partner of estimated similarity
 ``loose`` leaves the bucket, and a bucket falls into the components of what is left; equal sets of members become
-one bucket.  Then the whole sets of the rest are compared exactly.  The estimate: the pool of the larger set of a pair
+one bucket, and a bucket whose nodes all have one larger bucket in common gives way to it.  Then the whole sets of the rest are
+compared, each sent once to each bucket that is left, as 32-bit tokens (chance collisions move a similarity by about n / 2^32).
+A bucket is cut into blocks by the number of its nodes and by the sum of its sets.  The estimate: the pool of the larger set of a pair
 is sampled at the smaller rate, so what the pools share is what the smaller set holds of it; that share of
 the pool stands for the share of the larger set, and the sizes are known.
 
-Recall.  A pair of similarity 0.8 has 0.8 ``roots`` = 12.8 common paths on level 1 in the mean, and keeps each on
+Recall.  A pair of similarity 0.8 has 0.8 ``runs`` common paths on level 1 in the mean (12.8 of 16), and keeps each on
 a further level with probability 0.8, independently: it is lost with probability at most 3e-6 at level 1, 4e-5, 1e-4
 and 2e-4 if all common buckets are so large that two, three, four levels are needed; less above 0.8.  Sets of up to
 16 have fewer common roots (4 of 5) and one branch more: at most 1e-6 for them.  The pool pass
@@ -29,7 +32,8 @@ is the same in all buckets and adds at most 4e-10: for a pair of 0.8 whose one s
 
 Cost.  Links are counted where they are found, at the least bucket that both nodes have in common, so no pair is
 counted twice and none leaves its task: a bucket returns a count a node and a star of edges a component.
-Components are found by alternating large-star and small-star steps over written tables.
+Components are found by alternating large-star and small-star steps over written tables.  Only texts of nodes
+that have a bucket left are shingled again; a table written on the way is dropped once what it serves is written.
 
 Repeated rows are copies of one another; null texts have no words; null ids count as documents without id;
 an empty table gives no rows; other columns don't matter.
@@ -38,6 +42,7 @@ an empty table gives no rows; other columns don't matter.
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -45,17 +50,27 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_batches, pieces, read_table, stage, staging
+from .common import drop_path, map_batches, pieces, read_table, stage, staging
 from .tokenization import plain_texts
 
 WORDS, THRESHOLD = 5, 0.8
-ROOTS, BRANCHES, LEVELS, POOL = 16, 2, 4, 64
+TARGET_RECALL = 1 - 3e-6  # of a pair at the threshold, on level 1
+BRANCHES, LEVELS, POOL = 2, 4, 64
 SHORT = 16  # sets of up to so many shingles have one branch more
 BLOCK, DENSE, LOOSE = 2048, 0.5, 0.3
+MEAN_SET = 4096  # shingles a node by which a block is filled
 NO_ID = -(1 << 63)
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
+def runs_for(target_recall: float, threshold: float) -> int:
+    """Runs until a pair of this similarity shares a root with this probability: common roots are Poisson, ``threshold`` a run."""
+    return math.ceil(-math.log(1 - target_recall) / threshold)
+
+
+ROOTS = runs_for(TARGET_RECALL, THRESHOLD)
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -146,7 +161,9 @@ def buckets(nodes: DataFrame, root: str, block: int = BLOCK, dense: float = DENS
         if d == levels or large.isEmpty():
             sizes.append(own.filter(F.col("m") > block))
             break
-        inside = rows.join(large, "path").join(nodes.select("key", "n", "pool"), "key")
+        inside = stage(rows.join(large, "path"), f"{root}/inside{d}")  # written: its size is known to the next joins
+        nodes = stage(nodes.join(inside.select("key"), "key", "left_semi").select("key", "n", "pool"), f"{root}/nodes{d}")
+        inside = inside.join(nodes, "key")
         further = F.lit(branches) + F.when(F.col("n") <= SHORT, 1).otherwise(0)
         rate = further * F.lit(float(1 << 40)) / F.least(F.size("pool"), F.lit(POOL))
         chosen = F.filter("pool", lambda t: F.xxhash64(F.col("path"), t, F.lit(d)).bitwiseAND((1 << 40) - 1) < rate)
@@ -205,16 +222,16 @@ def loose_buckets(members: DataFrame, nodes: DataFrame, loose: float = LOOSE, bl
             own = np.array([x[0] for x in nodes])
             near &= own[:, None] != own[None, :]
         if key[3] > block:
-            return [(key[0], nodes[i][1], key[3]) for i in np.flatnonzero(near.any(1)).tolist()]
+            return [(key[0], nodes[i][1], key[3], nodes[i][3]) for i in np.flatnonzero(near.any(1)).tolist()]
         out, label = [], _labels(near)
         for first in np.flatnonzero(np.bincount(label, minlength=n) > 1).tolist():
-            keys = sorted(nodes[i][1] for i in np.flatnonzero(label == first).tolist())
-            path = int.from_bytes(hashlib.blake2b(b"".join(keys), digest_size=8).digest(), "little", signed=True)
-            out += [(path, k, len(keys)) for k in keys]
+            own = sorted((nodes[i][1], nodes[i][3]) for i in np.flatnonzero(label == first).tolist())
+            path = int.from_bytes(hashlib.blake2b(b"".join(k for k, _ in own), digest_size=8).digest(), "little", signed=True)
+            out += [(path, k, len(own), size) for k, size in own]
         return out
 
     def run(batches):
-        names, types = ["path", "key", "m"], [pa.int64(), pa.binary(), pa.int64()]
+        names, types = ["path", "key", "m", "n"], [pa.int64(), pa.binary(), pa.int64(), pa.int64()]
         current, nodes, out = None, [], []
         for batch in pieces(batches, 4000):
             for path, a, b, own, m, key, size, pool in zip(*(c.to_pylist() for c in batch.columns)):
@@ -231,32 +248,40 @@ def loose_buckets(members: DataFrame, nodes: DataFrame, loose: float = LOOSE, bl
 
     pooled = map_batches(members.join(nodes.select("key", "n", "pool"), "key").select("path", "key", "m", "n", "pool"), spread, where)
     dealt = pooled.repartition("path", "a", "b").sortWithinPartitions("path", "a", "b", "key")
-    return map_batches(dealt, run, "path long, key binary, m long").distinct()
+    return map_batches(dealt, run, "path long, key binary, m long, n long").distinct()
+
+
+def largest_buckets(members: DataFrame, block: int = BLOCK) -> DataFrame:
+    """path, key, parts: the buckets but for those whose nodes all have the same larger bucket, and into how many blocks each is cut."""
+    most = members.groupBy("key").agg(F.max(F.struct("m", "path")).alias("most"))
+    judged = members.join(most, "key").groupBy("path").agg(F.min("most").alias("least"), F.max("most").alias("most"), F.count(F.lit(1)).alias("nodes"), F.sum("n").alias("shingles"))
+    inside = (F.col("least") == F.col("most")) & (F.col("most.path") != F.col("path"))
+    parts = F.ceil(F.greatest(F.col("nodes") / block, F.col("shingles") / (block * MEAN_SET))).cast("int")
+    return members.join(judged.filter(~inside).select("path", parts.alias("parts")), "path").select("path", "key", "parts")
 
 
-def _spread(rows: DataFrame, words: int, block: int) -> DataFrame:
-    """Rows doc_id, text, key, copies, paths: each node's set to each of its buckets (to each pair of blocks of a large one)."""
-    names = ["path", "a", "b", "own", "key", "copies", "shingles", "paths"]
-    types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.binary(), pa.binary()]
+def _sets(texts: DataFrame, words: int) -> DataFrame:
+    """key and shingles (32-bit, sorted) of each text."""
 
     def run(batches):
         for batch in pieces(batches, 500):
-            values, at = shingle_sets(batch.column(1), words)
-            data, out = memoryview(values.tobytes()), []
-            for i, (key, copies, paths) in enumerate(zip(*(batch.column(c).to_pylist() for c in (2, 3, 4)))):
-                own = bytes(data[at[i] * 8 : at[i + 1] * 8])
-                if _key(own) != key:  # another row of the same id
-                    continue
-                ids = np.array([p["path"] for p in paths], np.int64).tobytes()
-                for p in paths:
-                    out += [(p["path"], a, b, mine, key, copies, own, ids) for a, b, mine in _blocks(key, p["m"], block)]
-                    if len(out) >= 500:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
-                        out = []
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
+            values, at = shingle_sets(batch.column(0), words)
+            data = memoryview(values.tobytes())
+            keys, sets = [], []
+            for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
+                keys.append(_key(data[a * 8 : b * 8]))
+                sets.append(np.unique(values[a:b].astype(np.uint32)).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sets, pa.binary())], ["key", "shingles"])
+
+    return map_batches(texts.select("text"), run, "key binary, shingles binary")
+
 
-    return map_batches(rows.select("doc_id", "text", "key", "copies", "paths"), run, "path long, a int, b int, own int, key binary, copies long, shingles binary, paths binary")
+def _spread(sets: DataFrame, wanted: DataFrame) -> DataFrame:
+    """path, a, b, own, key, copies, shingles, paths: each node's set to each of its buckets, to each pair of blocks of a large one."""
+    sent = sets.join(wanted, "key").select("key", "copies", "shingles", F.transform("paths", lambda p: p["path"]).alias("paths"), F.explode("paths").alias("p"))
+    own = F.pmod(F.xxhash64("key"), F.col("p.parts")).cast("int")
+    sent = sent.select("*", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("p.parts") - 1)).alias("other"))
+    return sent.select(F.col("p.path").alias("path"), F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "key", "copies", "shingles", "paths")
 
 
 def _common(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
@@ -353,7 +378,7 @@ def compare_buckets(sent: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
                     out += finish(where, nodes)
                     where, nodes, last = (path, a, b), [], None
                 if key != last:  # sorted by key: repeated rows are next to each other
-                    nodes.append((own, key, copies, np.frombuffer(shingles, np.uint64), np.frombuffer(paths, np.int64)))
+                    nodes.append((own, key, copies, np.frombuffer(shingles, np.uint32), np.array(paths, np.int64)))
                     last = key
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
@@ -368,7 +393,7 @@ def compare_buckets(sent: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 def components(edges: DataFrame, root: str, rounds: int = 50) -> DataFrame:
     """node, leader (the least node of its component) for every node of ``edges`` (x, y)."""
     edges = stage(edges.filter(F.col("x") != F.col("y")).select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct(), f"{root}/edges")
-    before = None
+    before, spark, old = None, edges.sparkSession, f"{root}/edges"
     for r in range(rounds):
         both = edges.unionByName(edges.select(F.col("y").alias("x"), F.col("x").alias("y")))
         least = both.groupBy("x").agg(F.min("y").alias("low")).select("x", F.least("x", "low").alias("low"))
@@ -377,6 +402,9 @@ def components(edges: DataFrame, root: str, rounds: int = 50) -> DataFrame:
         low = star.groupBy("x").agg(F.min("y").alias("low"))
         moved = star.join(low, "x").filter(F.col("y") != F.col("low")).select(F.col("y").alias("x"), F.col("low").alias("y"))
         edges = stage(moved.unionByName(low.select("x", F.col("low").alias("y"))).filter(F.col("x") != F.col("y")).distinct(), f"{root}/small-star{r}")
+        drop_path(spark, old)
+        drop_path(spark, f"{root}/large-star{r}")
+        old = f"{root}/small-star{r}"
         now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("x", "y"))).first()
         if now == before:
             break
@@ -386,21 +414,31 @@ def components(edges: DataFrame, root: str, rounds: int = 50) -> DataFrame:
     return edges.select(F.col("x").alias("node"), F.col("y").alias("leader"))
 
 
-def jaccard_links(documents: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text", roots: int = ROOTS, branches: int = BRANCHES, levels: int = LEVELS, block: int = BLOCK, dense: float = DENSE, identify: bool = False) -> DataFrame:
+def jaccard_links(documents: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text", target_recall: float = TARGET_RECALL, branches: int = BRANCHES, levels: int = LEVELS, block: int = BLOCK, dense: float = DENSE, identify: bool = False) -> DataFrame:
     """doc_id, class_id, links of every row; if asked, the text's hash (xxhash64) and a name of its component that no other has."""
     spark: SparkSession = documents.sparkSession
     root = staging(spark, "jaccard")
-    rows = stage(sketches(documents, words, roots, id_col=id_col, text_col=text_col), f"{root}/rows")
-    nodes = stage(rows.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("roots").alias("roots"), F.first("pool").alias("pool")), f"{root}/nodes")
-    members = stage(loose_buckets(buckets(nodes, root, block, dense, branches, levels), nodes, threshold * LOOSE / THRESHOLD, block), f"{root}/members")
-    wanted = members.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("path", "m"))).alias("paths"))
-    wanted = wanted.join(nodes.select("key", "doc_id", "copies"), "key")
-    texts = documents.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    found = stage(compare_buckets(_spread(texts.join(wanted, "doc_id"), words, block), threshold), f"{root}/found")
-    leaders = components(found.select(F.col("key").alias("x"), F.col("other").alias("y")), root)
+    rows = stage(sketches(documents, words, runs_for(target_recall, threshold), id_col=id_col, text_col=text_col), f"{root}/rows")
+    first = F.min(F.struct("doc_id", "text_hash")).alias("first")
+    nodes = rows.filter("n > 0").groupBy("key").agg(first, F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("roots").alias("roots"), F.first("pool").alias("pool"))
+    nodes = stage(nodes.select("key", "first.*", "copies", "n", "roots", "pool"), f"{root}/nodes")
+    loose = stage(loose_buckets(buckets(nodes, f"{root}/buckets", block, dense, branches, levels), nodes, threshold * LOOSE / THRESHOLD, block), f"{root}/loose")
+    drop_path(spark, f"{root}/buckets")
+    members = stage(largest_buckets(loose, block), f"{root}/members")
+    wanted = members.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("path", "parts"))).alias("paths"))
+    wanted = stage(wanted.join(nodes.select("key", "doc_id", "text_hash", "copies"), "key"), f"{root}/wanted")
+    texts = documents.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(text_col).alias("text_hash"))
+    texts = texts.join(wanted.select("doc_id", "text_hash"), ["doc_id", "text_hash"], "left_semi")
+    sets = _sets(texts, words).groupBy("key").agg(F.first("shingles").alias("shingles"))  # repeated rows meet before the shuffle
+    found = stage(compare_buckets(_spread(sets, wanted.select("key", "copies", "paths")), threshold), f"{root}/found")
+    for name in ("loose", "members", "wanted"):
+        drop_path(spark, f"{root}/{name}")
+    leaders = components(found.select(F.col("key").alias("x"), F.col("other").alias("y")), f"{root}/components")
     links = found.groupBy("key").agg(F.sum("links").alias("links"))
     named = nodes.select("key", "doc_id", "copies").join(links, "key", "left").join(leaders.withColumnRenamed("node", "key"), "key", "left")
     named = stage(named.select("key", "doc_id", "leader", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")), f"{root}/named")
+    for name in ("nodes", "found", "components"):
+        drop_path(spark, f"{root}/{name}")
     least = named.groupBy(F.coalesce("leader", "key").alias("leader")).agg(F.min("doc_id").alias("class_id"))
     named = named.withColumn("leader", F.coalesce("leader", "key")).join(least, "leader").select("key", "class_id", "links", "leader")
     out = rows.select("doc_id", "text_hash", "key", "n").join(named, "key", "left")

@@ -8,6 +8,7 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from granary.llm import jaccard_join, line_dedup, quality, topk
 
@@ -153,6 +154,59 @@ def test_short_sets_stay_together(spark, tmp_path):
     assert got.select("pair").distinct().count() == pairs
 
 
+def test_runs_meet_the_target():
+    assert jaccard_join.ROOTS == jaccard_join.runs_for(jaccard_join.TARGET_RECALL, 0.8) == 16
+    for target in (0.9, 0.99, 0.9999):
+        runs = jaccard_join.runs_for(target, 0.8)
+        assert np.exp(-0.8 * runs) <= 1 - target < np.exp(-0.8 * (runs - 1))
+    rng = np.random.default_rng(6)  # n = 90, 80 shared of 100, at few runs: the loss is the one computed
+    runs, missed = jaccard_join.runs_for(0.9, 0.8), 0
+    for _ in range(4000):
+        base = rng.integers(0, 1 << 63, 100, dtype=np.uint64)
+        limit = np.uint64(int(2.0**64 * runs / 90))
+        missed += not (jaccard_join._mix(base[10:90]) <= limit).any()
+    assert missed / 4000 <= 0.1 * 1.15
+
+
+@pytest.mark.parametrize("levels,sizes,bound", [(2, (180, 180), 4e-5), (3, (180, 180), 1e-4), (4, (180, 180), 2e-4), (4, (12, 15), 2e-4), (4, (4, 5), 1e-4)])
+def test_recall_over_levels(spark, tmp_path, levels, sizes, bound):
+    """Pairs at 0.8 in buckets that are all too large: as few are lost as the docstring says."""
+    rng, pairs, nodes = np.random.default_rng(levels), 2500, []
+    small, large = sizes
+    common = small if small < large else int(small * 16 / 18)  # 0.8 either way
+    for i in range(pairs):
+        own = rng.integers(-(1 << 31), 1 << 31, 2 * large)
+        first, second = own[:small], np.concatenate((own[:common], own[small : small + large - common]))
+        # forty roots for all pairs; each token is a root or a pool token at the rate of its set's size
+        draw, root = rng.random(2 * large), rng.integers(0, 40, 2 * large)
+        for j, (part, at) in enumerate(((first, np.arange(small)), (second, np.concatenate((np.arange(common), np.arange(small, small + large - common)))))):
+            n, token = len(part), (part.astype(np.int64) * 2654435761 % (1 << 32)) / 2.0**32
+            nodes.append((i.to_bytes(8, "big") + bytes([j]), n, root[at][draw[at] <= 16 / n].tolist(), part[token <= 64 / n].tolist()))
+    frame = spark.createDataFrame(nodes, "key binary, n long, roots array<long>, pool array<int>").withColumn("roots", F.array_distinct("roots"))
+    frame.write.parquet(f"{tmp_path}/nodes")
+    got = jaccard_join.buckets(spark.read.parquet(f"{tmp_path}/nodes"), str(tmp_path), block=60, dense=9.0, levels=levels)
+    got = got.selectExpr("path", "substr(key, 1, 8) as pair").groupBy("path", "pair").count().filter("count = 2")
+    lost = pairs - got.select("pair").distinct().count()
+    assert lost <= pairs * bound + 4
+
+
+def test_links_with_null_and_repeated_ids(spark):
+    """A text is found again by id and content: null or repeated ids pair no text with another's node."""
+    rng = random.Random(12)
+    base = [words(rng, 60) for _ in range(40)]
+    rows = [(None if i % 3 else i % 5, " ".join(base[i % 40][: 60 - i % 2])) for i in range(200)]
+    assert ours(jaccard_join.jaccard_links(frame(spark, rows))) == brute_links(rows)
+
+
+def test_contained_buckets_give_way(spark):
+    """A bucket inside another is not compared again; what both hold is still compared."""
+    members = [("a", 1, 3), ("b", 1, 3), ("c", 1, 3), ("a", 2, 2), ("b", 2, 2), ("c", 3, 2), ("d", 3, 2)]
+    df = spark.createDataFrame([(p, k.encode(), m, 10) for k, p, m in members], "path long, key binary, m long, n long")
+    left = {(r["path"], bytes(r["key"]).decode()) for r in jaccard_join.largest_buckets(df).collect()}
+    assert left == {(1, "a"), (1, "b"), (1, "c"), (3, "c"), (3, "d")}
+    assert {r["parts"] for r in jaccard_join.largest_buckets(df.withColumn("n", F.lit(10 * jaccard_join.MEAN_SET)), block=8).collect()} == {3, 4}
+
+
 # ---- operator 7
 
 
