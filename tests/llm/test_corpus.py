@@ -359,6 +359,39 @@ def test_lines_odd_rows(spark):
     check_lines(frame(spark, []), [], line_dedup.MIN_WORDS)
 
 
+def test_lines_of_repeated_and_null_ids(spark, tmp_path):
+    """Texts of one id are ordered by text: the copy that stays is the same in brute force and in SQL."""
+    rng = random.Random(21)
+    lines = [" ".join(rng.choice("abcd") for _ in range(rng.randint(1, 30))) for _ in range(9)] + ["", "  "]
+    rows = [(rng.choice([None, 1, 1, 2, 3]), "\n".join(rng.choice(lines) for _ in range(rng.randint(0, 14)))) for _ in range(60)]
+    rows += rows[:7] + [(1, None), (None, None), (None, "")]
+    check_lines(frame(spark, rows), rows, line_dedup.MIN_WORDS)
+    frame(spark, rows).select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
+    c = duckdb.connect()
+    c.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    order = lambda rows: sorted(rows, key=repr)
+    assert order(map(tuple, line_dedup.query(spark, str(tmp_path)).collect())) == order(c.execute(line_dedup.ORACLE).fetchall())
+
+
+def test_lines_column_of_the_same_name(spark):
+    df = frame(spark, [(1, "a"), (2, "b")]).withColumn("lines_deleted", F.lit("x"))
+    got = line_dedup.dedup_lines(df)
+    assert got.columns == df.columns and {r["lines_deleted"] for r in got.collect()} == {0}
+
+
+def test_winnowing_thins_lines(spark, documents):
+    """One row a selected line, fewer than lines; every run of enough words holds one; equal windows select equal lines."""
+    selected = line_dedup.positions(documents, line_dedup.MIN_WORDS).collect()
+    lines = {(r["doc_id"], k): line for r in documents.collect() for k, line in enumerate((r["text"] or "").split("\n")) if line.strip(" ")}
+    assert 0 < len(selected) < len(lines)
+    chosen = {}
+    for r in selected:
+        for w in r["windows"]:
+            assert w["first"] <= r["at"] <= w["last"]
+            content = tuple(lines[r["line_dedup_id"], k] for k in range(w["first"], w["last"] + 1) if (r["line_dedup_id"], k) in lines)
+            assert chosen.setdefault(content, lines[r["line_dedup_id"], r["at"]]) == lines[r["line_dedup_id"], r["at"]]
+
+
 def sql(sf_dir, text):
     c = duckdb.connect()
     for name in ("documents", "embeddings"):
