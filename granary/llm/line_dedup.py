@@ -117,7 +117,7 @@ def dedup_lines(documents: DataFrame, min_words: int = MIN_WORDS, id_col: str =
     """The documents with repeated runs deleted, and ``lines_deleted``."""
     root = staging(documents.sparkSession, "lines")
     selected = stage(positions(documents, min_words, id_col, text_col), f"{root}/positions")
-    spans = stage(kept_stretches(repeated_spans(selected, text_order(documents, root, id_col, text_col))), f"{root}/spans")  # written: its size is known
+    spans = kept_stretches(repeated_spans(selected, text_order(documents, root, id_col, text_col)))
     names = [c for c in documents.columns if c != "lines_deleted"]
     joined = _by_key(_keyed(documents.select(*names), id_col, text_col), spans.select(*KEY, F.struct("gaps", "rest", "deleted").alias("line_dedup_spans")), "left")
     lines, at = F.split(F.col(text_col), "\n"), F.col("line_dedup_spans")

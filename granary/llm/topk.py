@@ -6,14 +6,19 @@ knows its exact covering radius).  Node pairs are visited from the most promisin
 the best possible product of any pair below them, <p, q> + rp |q| + rq |p| + rp rq, is less than the worst k-th
 score of the query group.  Ties are never pruned.
 
-Queries meet all data in blocks: queries are dealt into blocks of about ``query_block`` rows, data into
-blocks of about ``data_block``, and a task holds one of each.  Its k best per query go on to a merge by query.
+The top level of the tree is shared by all tasks: up to ``max_cells`` centers picked farthest-first from a sample of
+``sample`` rows; every row goes to the cell of its nearest center, and each cell knows its exact radius and greatest norm.  A first pass
+searches the own cell of every query, which gives a floor for its k-th score.  Then a query goes only to those cells whose best
+possible product, min(<q, c> + r |q|, |q| max |p|), reaches its floor, and a cell's rows only to the blocks of queries that ask for them:
+pairs of blocks are pruned before the shuffle.  Cells and the queries of a cell are cut into blocks by hash, so no group grows with
+the data, and a task holds a block of each.  Its k best per query go on to a merge by query.  Vectors of a length that the sample
+lacks have one cell of their own.
 
 A component x becomes floor(64 x).  Vectors that are null or hold null or non-finite components take no
 part; vectors of different lengths have no product.  Every row is a candidate, also of a repeated id, but for the rows
 of the query's own id, as in the SQL; query rows of one id share its k places.  Equal rows beyond the k-th can't be in a
 result and are left out before the search.  Ties go by id; rows equal in id and score can't be told apart in the result.  A query with fewer than k
-candidates gets them all; an empty table gives no rows.  Scores beyond 64 bits are clipped.
+candidates gets them all; an empty table gives no rows; null ids take no part; other columns don't matter.  Scores beyond 64 bits are clipped.
 """
 
 from __future__ import annotations
@@ -22,12 +27,14 @@ import heapq
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import read_table, ship
+from .common import map_batches, pieces, read_table, ship, stage, staging
 
 K, SCALE = 20, 64
+CELL_ROWS, MAX_CELLS, SAMPLE = 8192, 1024, 4096  # rows a cell aims at, cells, rows that centers are picked from
 LEAF, FANOUT, CHUNK = 48, 16, 1024  # rows of a leaf, children, data rows compared at once
 
 
@@ -63,7 +70,7 @@ def cover_tree(points: np.ndarray, rows: np.ndarray | None = None, first: int |
 class Search:
     """Exact k best data rows of every query row."""
 
-    def __init__(self, queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, data_ids: np.ndarray, k: int):
+    def __init__(self, queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, data_ids: np.ndarray, k: int, floor: np.ndarray | None = None):
         limit = max((float((np.abs(x).astype(np.float64) ** 2).sum(1).max()) if len(x) else 0.0) for x in (queries, data))
         self.wide = limit >= 2.0**52  # else products and their sums are exact in doubles
         self.q, self.p = queries.astype(np.float64), data.astype(np.float64)
@@ -73,7 +80,9 @@ class Search:
         self.scores = np.full((n, k), -np.inf)
         self.ids = np.zeros((n, k), np.int64)
         self.found: list[list[tuple[int, int]]] = [[] for _ in range(n)] if self.wide else []
-        self.worst = np.full(n, -np.inf)
+        self.floor = np.full(n, -np.inf) if floor is None else floor.astype(np.float64)
+        self.floor -= np.where(np.abs(self.floor) < 2.0**52, 0, np.abs(self.floor) * 1e-9)  # products are exact in doubles up to there
+        self.worst = self.floor.copy()
 
     def results(self) -> list[list[tuple[int, int]]]:
         """(score, id) of each query, best first."""
@@ -133,7 +142,7 @@ class Search:
                 self.found[row] = heapq.nsmallest(k, self.found[row] + new)
                 if len(self.found[row]) == k:
                     last = -self.found[row][-1][0]
-                    self.worst[row] = last - abs(last) * 1e-9  # bounds are doubles: the last bits don't prune
+                    self.worst[row] = max(self.floor[row], last - abs(last) * 1e-9)  # bounds are doubles: the last bits don't prune
             return
         products = self.q[rows] @ self.p[others].T
         products[self.query_ids[rows][:, None] == ids] = -np.inf
@@ -146,7 +155,7 @@ class Search:
             found = np.concatenate((own[i], ids))[use] if len(use) > 4 * k else np.where(use < k, own[i][np.minimum(use, k - 1)], ids[np.maximum(use - k, 0)])
             order = np.lexsort((found, -scores[i][use]))[:k]
             self.scores[row], self.ids[row] = scores[i][use][order], found[order]
-        self.worst[rows] = self.scores[rows, -1]
+        self.worst[rows] = np.maximum(self.floor[rows], self.scores[rows, -1])
 
 
 def integer_vectors(embeddings: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", copies: int = 1) -> DataFrame:
@@ -159,40 +168,135 @@ def integer_vectors(embeddings: DataFrame, id_col: str = "vec_id", vector_col: s
     return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.least("copies", F.lit(copies)).cast("int")))).select("vec_id", "v")
 
 
-def top_k(queries: DataFrame, data: DataFrame, k: int = K, query_block: int = 4096, data_block: int = 8192) -> DataFrame:
-    """query_id, rank, vec_id, score; both sides as ``integer_vectors`` gives them."""
-    n_queries, n_data = queries.count(), data.count()
-    parts = [max(1, -(-n_queries // query_block)), max(1, -(-n_data // data_block))]
-    block = lambda n: F.pmod(F.xxhash64("vec_id", "v"), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    size = F.size("v").alias("size")
-    left = queries.select("vec_id", "v", size, block(parts[0]).alias("qb"), every(parts[1]).alias("db"))
-    right = data.select("vec_id", "v", size, every(parts[0]).alias("qb"), block(parts[1]).alias("db"))
-
-    def matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        ids = table["vec_id"].to_numpy()
-        flat = table["v"].combine_chunks()
-        flat = (flat.flatten() if len(flat) else pa.array([], pa.int64())).to_numpy(zero_copy_only=False)
-        return ids, flat.reshape(len(ids), -1) if len(ids) else np.zeros((0, 0), np.int64)
-
+def _matrix(column: pa.Array, n: int) -> np.ndarray:
+    """Vectors of one length as rows."""
+    flat = column.flatten().to_numpy(zero_copy_only=False) if n else np.zeros(0, np.int64)
+    return flat.reshape(n, -1) if n else np.zeros((0, 0), np.int64)
+
+
+def pick_centers(data: DataFrame, cells: int, sample: int = SAMPLE) -> dict[int, np.ndarray]:
+    """Centers by vector length, picked farthest-first from at most ``sample`` rows (those of least hash)."""
+    rows = data.orderBy(F.xxhash64("vec_id", "v"), "vec_id").limit(sample).select("v").toArrow()["v"].to_pylist()
+    sizes = {}
+    for v in rows:
+        sizes.setdefault(len(v), []).append(v)
+    out = {}
+    for size, own in sizes.items():
+        points = np.array(own, np.float64).reshape(len(own), size)
+        chosen, away = [0], np.linalg.norm(points - points[0], axis=1)
+        while len(chosen) < max(1, cells * len(own) // len(rows)) and away.max() > 0:
+            chosen.append(int(away.argmax()))
+            away = np.minimum(away, np.linalg.norm(points - points[chosen[-1]], axis=1))
+        out[size] = points[chosen]
+    return out
+
+
+def _in_cells(rows: DataFrame, centers: dict[int, np.ndarray]) -> DataFrame:
+    """vec_id, v, size, cell (-1 for a length without centers), distance to the center, norm."""
+    shared = rows.sparkSession.sparkContext.broadcast(centers)  # at most ``max_cells`` vectors
+
+    def run(batches):
+        for batch in pieces(batches, 4096):
+            sizes = pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False)
+            cell, away, norm = np.full(len(sizes), -1), np.zeros(len(sizes)), np.zeros(len(sizes))
+            for size in np.unique(sizes).tolist():
+                at = np.flatnonzero(sizes == size)
+                own = _matrix(batch.column(1).take(pa.array(at)), len(at)).astype(np.float64)
+                norm[at] = np.linalg.norm(own, axis=1)
+                if (c := shared.value.get(size)) is not None:
+                    cell[at] = ((c * c).sum(1)[None, :] - 2 * own @ c.T).argmin(1)
+                    away[at] = np.linalg.norm(own - c[cell[at]], axis=1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sizes, pa.int32()), pa.array(cell, pa.int32()), pa.array(away), pa.array(norm)], ["vec_id", "v", "size", "cell", "away", "norm"])
+
+    return map_batches(rows.select("vec_id", "v"), run, "vec_id long, v array<long>, size int, cell int, away double, norm double")
+
+
+def _search(left: DataFrame, right: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """query_id, vec_id, score: the k best of each query among the data of its group.  ``left`` has a floor of the k-th score or null."""
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
     def run(mine: pa.Table, theirs: pa.Table) -> pa.Table:
-        (query_ids, q), (data_ids, p) = matrix(mine), matrix(theirs)
-        if not len(query_ids) or not len(data_ids):
+        if not len(mine) or not len(theirs):
             return schema.empty_table()
-        search = Search(q, query_ids, p, data_ids, k)
+        (query_ids, q), (data_ids, p) = ((t["vec_id"].to_numpy(), _matrix(t["v"].combine_chunks(), len(t))) for t in (mine, theirs))
+        floor = pc.fill_null(mine["floor"].cast(pa.float64(), safe=False), -np.inf).to_numpy()
+        search = Search(q, query_ids, p, data_ids, k, floor)
         search.run()
-        rows = [(int(q), i, min(max(s, -(1 << 63)), (1 << 63) - 1)) for q, found in zip(query_ids, search.results()) for s, i in found]
+        rows = [(int(i), j, min(max(s, -(1 << 63)), (1 << 63) - 1)) for i, found in zip(query_ids, search.results()) for s, j in found]
         return pa.table([pa.array(c, pa.int64()) for c in zip(*rows)], schema=schema) if rows else schema.empty_table()
 
-    keys = ["qb", "db", "size"]
-    ship(queries.sparkSession)
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, "query_id long, vec_id long, score long")
+    ship(left.sparkSession)
+    side = lambda df, *more: df.select(*keys, "vec_id", "v", *more).groupBy(*keys)
+    return side(left, "floor").cogroup(side(right)).applyInArrow(run, "query_id long, vec_id long, score long")
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def cells_in_reach(queries: DataFrame, stats: list, centers: dict[int, np.ndarray]) -> DataFrame:
+    """The queries, once for each other cell whose best possible product reaches the floor: columns and ``target``."""
+    table = {size: [(r["cell"], r["radius"], r["largest"]) for r in stats if r["size"] == size] for size in centers}
+    shared = queries.sparkSession.sparkContext.broadcast((table, centers))  # a row a cell
+    names = queries.columns
+
+    def run(batches):
+        for batch in pieces(batches, 2048):
+            sizes = batch.column(names.index("size")).to_numpy()
+            own = batch.column(names.index("cell")).to_numpy()
+            floor = pc.fill_null(batch.column(names.index("floor")).cast(pa.float64(), safe=False), -np.inf).to_numpy(zero_copy_only=False)
+            rows, targets = [], []
+            for size in np.unique(sizes).tolist():
+                cells = shared.value[0].get(size)
+                if not cells:  # one cell holds all of this length
+                    continue
+                at = np.flatnonzero(sizes == size)
+                q = _matrix(batch.column(names.index("v")).take(pa.array(at)), len(at)).astype(np.float64)
+                norm = np.linalg.norm(q, axis=1)[:, None]
+                ids, radius, largest = (np.array(c) for c in zip(*cells))
+                product = q @ shared.value[1][size][ids].T
+                top = np.minimum(product + norm * radius, norm * largest)
+                top += 1e-9 * (1 + np.abs(product) + norm * (radius + largest))
+                found = np.nonzero((top >= floor[at][:, None]) & (ids[None, :] != own[at][:, None]))
+                rows.append(at[found[0]])
+                targets.append(ids[found[1]])
+            if rows:
+                yield pa.RecordBatch.from_arrays([*batch.take(pa.array(np.concatenate(rows))).columns, pa.array(np.concatenate(targets), pa.int32())], [*names, "target"])
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in queries.schema.fields)
+    return map_batches(queries, run, schema + ", target int")
+
+
+def top_k(queries: DataFrame, data: DataFrame, k: int = K, query_block: int = 4096, data_block: int = 8192, cell_rows: int = CELL_ROWS, max_cells: int = MAX_CELLS, sample: int = SAMPLE) -> DataFrame:
+    """query_id, rank, vec_id, score; both sides as ``integer_vectors`` gives them."""
+    root = staging(data.sparkSession, "topk")
+    data = stage(data.select("vec_id", "v"), f"{root}/vectors")
+    centers = pick_centers(data, min(max_cells, -(-data.count() // cell_rows)), sample)
+    place = ["size", "cell"]
+    points = stage(_in_cells(data, centers), f"{root}/points")
+    asked = stage(_in_cells(queries, centers), f"{root}/queries")
+    held = points.groupBy(*place).agg(F.max("away").alias("radius"), F.max("norm").alias("largest"), F.ceil(F.count(F.lit(1)) / data_block).cast("int").alias("blocks"))
+    held = stage(held, f"{root}/cells")
+    met = asked.groupBy(*place).agg(F.ceil(F.count(F.lit(1)) / query_block).cast("int").alias("query_blocks"))
+    block = lambda n: F.pmod(F.xxhash64("vec_id", "v"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    both = held.join(met, place)
+    asked = asked.join(both.select(*place, "query_blocks"), place).select(*place, "vec_id", "v", block("query_blocks").alias("qb"), F.lit(None).cast("long").alias("floor"))
+    points = points.join(held.select(*place, "blocks"), place).select(*place, "vec_id", "v", block("blocks").alias("db"))
+    left = asked.join(held.select(*place, "blocks"), place).select("*", every("blocks").alias("db"))
+    right = points.join(both.select(*place, "query_blocks"), place).select("*", every("query_blocks").alias("qb"))
+    near = stage(_best(_search(left, right, [*place, "qb", "db"], k), k), f"{root}/near")
+    floors = near.filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("known"))
+    asking = asked.drop("floor").join(floors, "vec_id", "left").select(*place, "vec_id", "v", "qb", F.col("known").alias("floor"))
+    stats = held.filter("cell >= 0").collect()  # a row a cell
+    sent = cells_in_reach(asking, stats, centers).withColumnRenamed("cell", "own").withColumnRenamed("target", "cell")
+    sent = stage(sent.join(held.select(*place, "blocks"), place).select(*place, "own", "qb", "vec_id", "v", "floor", every("blocks").alias("db")), f"{root}/sent")
+    wanted = sent.select(*(F.col(c).alias(c) for c in (*place, "db", "own", "qb"))).distinct()
+    far = _search(sent, points.join(wanted, [*place, "db"]), [*place, "db", "own", "qb"], k)
+    return _best(near.drop("rank").unionByName(far), k)
+
+
 def query(spark, sf_dir):
     data = integer_vectors(read_table(spark, sf_dir, "embeddings"), copies=K)
     return top_k(data.filter(F.col("vec_id") % 20 == 0), data)

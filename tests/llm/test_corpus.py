@@ -490,6 +490,32 @@ def test_top_k_of_repeated_ids_equals_sql(spark, tmp_path):
     assert sorted(map(tuple, topk.query(spark, str(tmp_path)).collect())) == sorted(c.execute(topk.ORACLE).fetchall())
 
 
+@pytest.mark.parametrize("kind", ["clusters", "one point", "random"])
+def test_top_k_by_cells(spark, kind):
+    """Small cells and blocks: the same as brute force, and clustered queries reach few cells."""
+    rng = np.random.default_rng(13)
+    if kind == "clusters":
+        centers = rng.integers(-900, 900, (15, 6))
+        p = centers[rng.integers(0, 15, 600)] + rng.integers(-2, 3, (600, 6))
+    elif kind == "one point":
+        p = np.tile([3, -1, 2], (300, 1))
+    else:
+        p = rng.integers(-20, 21, (400, 8))
+    ids = np.arange(len(p))
+    data = spark.createDataFrame([(int(i), v.tolist(), 0, "s") for i, v in zip(ids, p)], "vec_id long, v array<long>, cell int, floor string")
+    asked = data.filter("vec_id % 20 = 0")
+    got = topk.top_k(asked, data, 7, query_block=8, data_block=64, cell_rows=40)
+    want = brute_top(p[::20], ids[::20], p, ids, 7)
+    assert sorted(map(tuple, got.collect())) == sorted((int(q), n + 1, i, s) for q, found in zip(ids[::20], want) for n, (s, i) in enumerate(found))
+    if kind == "clusters":
+        centers = topk.pick_centers(data, 15)
+        queries = topk._in_cells(asked, centers)
+        cells = topk._in_cells(data, centers).groupBy("size", "cell").agg(F.max("away").alias("radius"), F.max("norm").alias("largest"))
+        floors = spark.createDataFrame([(int(q), found[-1][0]) for q, found in zip(ids[::20], want)], "vec_id long, floor long")
+        reached = topk.cells_in_reach(queries.join(floors, "vec_id").select("vec_id", "v", "size", "cell", "floor"), cells.collect(), centers)
+        assert reached.count() < 0.5 * len(want) * cells.count()
+
+
 # ---- pipeline
 
 
