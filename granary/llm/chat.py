@@ -10,8 +10,8 @@ A conversation's formatted text is its segments in order of turn.  ``read_back``
 out by id, sorts turns inside partitions and reads each conversation as a stream, so memory does not grow with
 its number of turns (a digest over one conversation is sequential by nature).
 
-Rows of equal conversation and turn come in order of role and text; null roles and texts are empty; a
-null conversation id is a conversation of its own; an empty table gives no rows.
+Rows of equal conversation and turn come in order of their formatted segments; null roles and texts are empty; a
+null conversation id is a conversation of its own; an empty table gives no rows; other columns don't matter.
 """
 
 from __future__ import annotations

@@ -95,7 +95,7 @@ class WordCachedEncoder:
         self.words: dict[str, bytes] = {"": b""}
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
-        # The short cut holds for this family of files only; others go through the library word by word.
+        # Words stand for themselves in this family of files only; others are refused.
         self.short_cut = (
             [x.get("type") for x in (spec.get("normalizer") or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
             and [x.get("type") for x in (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])] == ["Split", "ByteLevel"]
