@@ -12,7 +12,9 @@ number of slots is bounded by a small multiple of ``capacity``, not by the data.
 Ranks within a length come from a count per (length, input task) and a running sum over tasks: no
 task or window holds all pieces of a frequent length.
 
-Null texts are empty: one id.  Repeated rows are packed each.  An empty table makes no sequence.
+Null texts are empty: one id.  Repeated rows are packed each; rows of equal id too, and null ids stay null.  Pieces of equal length
+are interchangeable: which of them goes where follows the input task and the order in it.  A very long text is cut as it is encoded.
+An empty table makes no sequence; other columns don't matter.
 """
 
 from __future__ import annotations
@@ -82,7 +84,7 @@ class Plan:
             for second in self._pairs(have, rest):
                 if second <= first and self._fits([length, first, second, rest - second]):
                     return [first, second, rest - second]
-            if first * 3 < gap:
+            if first * 3 < gap:  # the longest of three parts is a third of the gap at least
                 break
         return None
 
@@ -93,7 +95,7 @@ class Plan:
             return []
         both = have[1:total] & have[total - 1 : 0 : -1]
         longer = np.flatnonzero(both) + 1
-        return longer[longer * 2 >= total][:4].tolist()
+        return longer[longer * 2 >= total].tolist()
 
     def _exact(self) -> None:
         for length in range(self.capacity, 0, -1):
