@@ -55,6 +55,25 @@ def money(x) -> Column:
     return column(x).cast(MONEY)
 
 
+def cents(x) -> Column:
+    """Hundredths as a whole number: what ``money`` holds, in generated code over machine words."""
+    return F.rint(column(x) * 100).cast("bigint")
+
+
+WIDE = 1_000_000
+
+
+def exact_sum(x, scale: int) -> Column:
+    """Sum of whole numbers of 10^-scale as a double, exact inside.
+
+    Two sums of machine words, of the quotients and the remainders by ``WIDE``: neither overflows below 10^12 rows of 10^12.
+    """
+    whole = column(x)
+    high, low = F.sum(F.call_function("div", whole, F.lit(WIDE))), F.sum(whole % WIDE)
+    total = high.cast("decimal(38,0)") * F.lit(WIDE).cast("decimal(7,0)") + low.cast("decimal(38,0)")
+    return F.concat(total.cast("string"), F.lit(f"E-{scale}")).cast("double")
+
+
 def rescale(x, precision: int, scale: int) -> Column:
     return column(x).cast(f"decimal({precision},{scale})")
 

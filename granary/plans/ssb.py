@@ -37,16 +37,16 @@ def q13(spark, sf_dir, p: Star = P):
 
 
 def _joined(spark, sf_dir, dates=None, suppliers=None, customers=None, parts=None) -> DataFrame:
-    """Line orders with the dimensions asked for, the most selective first; a condition of True keeps a whole dimension."""
-    rows = star.lineorders(spark, sf_dir)
-    for make, condition, key, own in (
-        (star.parts, parts, "lo_partkey", "p_partkey"),
-        (star.suppliers, suppliers, "lo_suppkey", "s_suppkey"),
-        (star.customers, customers, "lo_custkey", "c_custkey"),
-        (star.dates, dates, "lo_orderdate", "d_datekey"),
-    ):
+    """Line orders with the dimensions asked for, parts and suppliers first; a condition of True keeps a whole dimension."""
+
+    def side(make, condition):
+        return select(make(spark, sf_dir), *([] if condition is True else [condition]))
+
+    first = [(star.parts, parts, "lo_partkey", "p_partkey"), (star.suppliers, suppliers, "lo_suppkey", "s_suppkey")]
+    rows = star.lineorders(spark, sf_dir, *((side(make, condition), key, own) for make, condition, key, own in first if condition is not None))
+    for make, condition, key, own in ((star.customers, customers, "lo_custkey", "c_custkey"), (star.dates, dates, "lo_orderdate", "d_datekey")):
         if condition is not None:
-            rows = hash_join(rows, select(make(spark, sf_dir), *([] if condition is True else [condition])), [key], [own])
+            rows = hash_join(rows, side(make, condition), [key], [own])
     return rows
 
 
@@ -109,8 +109,9 @@ def q43(spark, sf_dir, p: Star = P):
 
 
 def _star(spark, sf_dir, suppliers=(), parts=()):
-    dimensions = [(star.dates(spark, sf_dir), "lo_orderdate", "d_datekey"), (select(star.suppliers(spark, sf_dir), *suppliers), "lo_suppkey", "s_suppkey"), (select(star.parts(spark, sf_dir), *parts), "lo_partkey", "p_partkey")]
-    return count_rows(star_probe(star.lineorders(spark, sf_dir), dimensions))
+    """Keys of parts and suppliers are unique, so a join with their keys keeps each line once, as a semi-join does."""
+    first = [(select(star.parts(spark, sf_dir), *parts).select("p_partkey"), "lo_partkey", "p_partkey"), (select(star.suppliers(spark, sf_dir), *suppliers).select("s_suppkey"), "lo_suppkey", "s_suppkey")]
+    return count_rows(star_probe(star.lineorders(spark, sf_dir, *first), [(star.dates(spark, sf_dir), "lo_orderdate", "d_datekey")]))
 
 
 def probe(spark, sf_dir):

@@ -1,7 +1,7 @@
 """Order queries: pricing summary (1), shipping priority (3), local supplier volume (5), revenue forecast (6),
 product profit (9), large orders (18) and the variants without filters or joins.
 
-Results are sets: nothing is sorted or cut.  Money is exact decimal inside and double in the result.
+Results are sets: nothing is sorted or cut.  Money is exact inside, as whole hundredths or decimals, and double in the result.
 """
 
 from __future__ import annotations
@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import contains, money, moment, year
+from ..functions import cents, contains, exact_sum, money, moment, year
 from ..operators import fixed_agg, fixed_side, hash_group, hash_join, having, select, semi_join
-from ..sources.tables import table
+from ..sources.tables import has_table, table
 from .params import Orders
 
 P = Orders()
@@ -22,21 +22,22 @@ def _double(x) -> F.Column:
 
 
 def _disc_price() -> F.Column:
-    return money("l_extendedprice") * (1 - money("l_discount"))
+    """In units of 10^-4, as a whole number."""
+    return cents("l_extendedprice") * (100 - cents("l_discount"))
 
 
 def _summary(line: DataFrame, averages: bool = False) -> DataFrame:
-    charge = _disc_price() * (1 + money("l_tax"))
+    charge = _disc_price() * (100 + cents("l_tax"))
     sums = {
-        "sum_qty": _double(F.sum(money("l_quantity"))),
-        "sum_base_price": _double(F.sum(money("l_extendedprice"))),
-        "sum_disc_price": _double(F.sum(_disc_price())),
-        "sum_charge": _double(F.sum(charge)),
+        "sum_qty": exact_sum(cents("l_quantity"), 2),
+        "sum_base_price": exact_sum(cents("l_extendedprice"), 2),
+        "sum_disc_price": exact_sum(_disc_price(), 4),
+        "sum_charge": exact_sum(charge, 6),
         "count_order": F.count(F.lit(1)),
     }
     if averages:
         for name, c in (("avg_qty", "l_quantity"), ("avg_price", "l_extendedprice"), ("avg_disc", "l_discount")):
-            sums[name] = _double(F.sum(money(c))) / F.count(F.lit(1))
+            sums[name] = exact_sum(cents(c), 2) / F.count(F.lit(1))
     return hash_group(line, ["l_returnflag", "l_linestatus"], **sums)
 
 
@@ -56,9 +57,10 @@ def q3(spark: SparkSession, sf_dir: str, p: Orders = P) -> DataFrame:
     customers = select(table(spark, sf_dir, "customer"), F.col("c_mktsegment") == p.q3_segment)
     orders = semi_join(select(table(spark, sf_dir, "orders"), F.col("o_orderdate") < moment(p.q3_date)), customers, ["o_custkey"], ["c_custkey"])
     line = select(table(spark, sf_dir, "lineitem"), F.col("l_shipdate") > moment(p.q3_date))
-    joined = hash_join(line, orders.select("o_orderkey", "o_orderdate"), ["l_orderkey"], ["o_orderkey"])
-    keys = ["l_orderkey", F.col("o_orderdate").cast("date").alias("o_orderdate"), F.lit(0).alias("o_shippriority")]
-    return hash_group(joined, keys, revenue=_double(F.sum(_disc_price()))).select("revenue", "l_orderkey", "o_orderdate", "o_shippriority")
+    priority = F.col("o_shippriority") if "o_shippriority" in orders.columns else F.lit(0).alias("o_shippriority")
+    joined = hash_join(line, orders.select("o_orderkey", "o_orderdate", priority), ["l_orderkey"], ["o_orderkey"])
+    keys = ["l_orderkey", F.col("o_orderdate").cast("date").alias("o_orderdate"), "o_shippriority"]
+    return hash_group(joined, keys, revenue=exact_sum(_disc_price(), 4)).select("revenue", "l_orderkey", "o_orderdate", "o_shippriority")
 
 
 def _supplied(spark: SparkSession, sf_dir: str, orders: DataFrame, nations: DataFrame) -> DataFrame:
@@ -74,26 +76,27 @@ def q5(spark: SparkSession, sf_dir: str, p: Orders = P) -> DataFrame:
     region = select(table(spark, sf_dir, "region"), F.col("r_name") == p.q5_region)
     nations = semi_join(table(spark, sf_dir, "nation"), fixed_side(region), ["n_regionkey"], ["r_regionkey"])
     when = (F.col("o_orderdate") >= moment(p.year_from)) & (F.col("o_orderdate") < moment(p.year_to))
-    return hash_group(_supplied(spark, sf_dir, select(table(spark, sf_dir, "orders"), when), nations), ["n_name"], revenue=_double(F.sum(_disc_price())))
+    return hash_group(_supplied(spark, sf_dir, select(table(spark, sf_dir, "orders"), when), nations), ["n_name"], revenue=exact_sum(_disc_price(), 4))
 
 
 def q5_nosel(spark: SparkSession, sf_dir: str) -> DataFrame:
     region = table(spark, sf_dir, "region")
     nations = semi_join(table(spark, sf_dir, "nation"), fixed_side(region), ["n_regionkey"], ["r_regionkey"])
     joined = _supplied(spark, sf_dir, table(spark, sf_dir, "orders"), nations)
-    return fixed_agg(joined, revenue=_double(F.sum(money("l_extendedprice") * money("l_discount"))), count=F.count(F.lit(1)))
+    return fixed_agg(joined, revenue=exact_sum(cents("l_extendedprice") * cents("l_discount"), 4), count=F.count(F.lit(1)))
 
 
 def q6(spark: SparkSession, sf_dir: str, p: Orders = P) -> DataFrame:
-    low, high = (F.lit(x).cast("decimal(12,2)") for x in p.q6_discount)
+    low, high = (float(x) for x in p.q6_discount)
     rows = select(
         table(spark, sf_dir, "lineitem"),
         F.col("l_shipdate") >= moment(p.year_from),
         F.col("l_shipdate") < moment(p.year_to),
         F.col("l_quantity") < float(p.q6_quantity),
-        money("l_discount").between(low, high),
+        F.col("l_discount").between(low - 0.006, high + 0.006),  # a wider bound, which the scan can use
+        cents("l_discount").between(round(low * 100), round(high * 100)),
     )
-    return fixed_agg(rows, revenue=_double(F.sum(money("l_extendedprice") * money("l_discount"))))
+    return fixed_agg(rows, revenue=exact_sum(cents("l_extendedprice") * cents("l_discount"), 4))
 
 
 def supply_cost() -> F.Column:
@@ -102,7 +105,9 @@ def supply_cost() -> F.Column:
 
 
 def part_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stand-in for the part and supplier table: ps_partkey, ps_suppkey, ps_supplycost."""
+    """ps_partkey, ps_suppkey, ps_supplycost, from ``partsupp`` where it exists, else a stand-in."""
+    if has_table(spark, sf_dir, "partsupp"):
+        return table(spark, sf_dir, "partsupp").select("ps_partkey", "ps_suppkey", "ps_supplycost")
     pairs = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey").distinct()
     return pairs.select(F.col("l_partkey").alias("ps_partkey"), F.col("l_suppkey").alias("ps_suppkey"), supply_cost().alias("ps_supplycost"))
 
@@ -117,8 +122,8 @@ def q9(spark: SparkSession, sf_dir: str, p: Orders = P) -> DataFrame:
     joined = hash_join(line, costs, ["l_partkey", "l_suppkey"], ["ps_partkey", "ps_suppkey"])
     joined = hash_join(joined, suppliers, ["l_suppkey"], ["s_suppkey"])
     joined = hash_join(joined, table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), ["l_orderkey"], ["o_orderkey"])
-    amount = _disc_price() - F.col("ps_supplycost") * money("l_quantity")
-    return hash_group(joined, ["nation", year("o_orderdate").alias("o_year")], sum_profit=_double(F.sum(amount)))
+    amount = _disc_price() - cents("ps_supplycost") * cents("l_quantity")
+    return hash_group(joined, ["nation", year("o_orderdate").alias("o_year")], sum_profit=exact_sum(amount, 4))
 
 
 def _large(spark: SparkSession, sf_dir: str, p: Orders) -> DataFrame:

@@ -1,4 +1,4 @@
-"""The star schema derived from the order tables, as DataFrames and as SQL for an oracle."""
+"""The star schema: its own tables where they exist, else derived from the order tables, as DataFrames and as SQL for an oracle."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import money
 from ..operators import fixed_side
-from .tables import table
+from .tables import has_table, table
 
 
 def _yyyymmdd(x) -> F.Column:
@@ -20,8 +20,18 @@ def places(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nation.join(fixed_side(region), nation.n_regionkey == region.r_regionkey).select("n_nationkey", "n_name", "r_name")
 
 
+def is_star(spark: SparkSession, sf_dir: str) -> bool:
+    """Whether the folder holds the star schema itself."""
+    return has_table(spark, sf_dir, "lineorder")
+
+
 def dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    days = table(spark, sf_dir, "orders").select(F.col("o_orderdate").cast("date").alias("day")).distinct()
+    """Every day from the first order to the last: a row a day, so of bounded size."""
+    if is_star(spark, sf_dir):
+        return table(spark, sf_dir, "date")
+    day = F.col("o_orderdate").cast("date")
+    span = table(spark, sf_dir, "orders").agg(F.min(day).alias("first"), F.max(day).alias("last")).filter(F.col("first").isNotNull())
+    days = span.select(F.explode(F.sequence("first", "last")).alias("day"))
     return days.select(
         _yyyymmdd("day").alias("d_datekey"),
         F.year("day").cast("int").alias("d_year"),
@@ -33,6 +43,8 @@ def dates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _side(spark: SparkSession, sf_dir: str, name: str, p: str, key: str) -> DataFrame:
     rows = table(spark, sf_dir, name)
+    if is_star(spark, sf_dir):
+        return rows.select(key, f"{p}_city", f"{p}_nation", f"{p}_region")
     rows = rows.join(fixed_side(places(spark, sf_dir)), rows[f"{p}_nationkey"] == F.col("n_nationkey"))
     city = F.concat_ws("_", "n_name", (F.col(key) % 10).cast("string"))
     return rows.select(key, city.alias(f"{p}_city"), F.col("n_name").alias(f"{p}_nation"), F.col("r_name").alias(f"{p}_region"))
@@ -47,6 +59,8 @@ def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    if is_star(spark, sf_dir):
+        return table(spark, sf_dir, "part").select("p_partkey", "p_mfgr", "p_category", "p_brand1")
     number = F.substring("p_brand", 7, 9).cast("int") - 1
     mfgr = F.concat(F.lit("MFGR#"), (number % 5 + 1).cast("string"))
     category = F.concat(mfgr, (F.floor(number / 5) + 1).cast("string"))
@@ -54,19 +68,34 @@ def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", mfgr.alias("p_mfgr"), category.alias("p_category"), brand.alias("p_brand1"))
 
 
-def lineorders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+def lineorders(spark: SparkSession, sf_dir: str, *dimensions: tuple[DataFrame, str, str]) -> DataFrame:
+    """Line orders, with the columns of ``dimensions`` (rows, own key, dimension key) of parts and suppliers.
+
+    In the derived schema these meet the line items before the orders do, so that a filter on them shortens that join.
+    """
+    if is_star(spark, sf_dir):
+        rows = table(spark, sf_dir, "lineorder")
+    else:
+        rows = table(spark, sf_dir, "lineitem").withColumnsRenamed({"l_partkey": "lo_partkey", "l_suppkey": "lo_suppkey"})
+    extra = []
+    for side, own, key in dimensions:
+        rows = rows.join(side, rows[own] == side[key])
+        extra += side.columns
+    if is_star(spark, sf_dir):
+        return rows
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     price = money("l_extendedprice")
-    return line.join(orders, line.l_orderkey == orders.o_orderkey).select(
+    return rows.join(orders, rows.l_orderkey == orders.o_orderkey).select(
         F.col("o_custkey").alias("lo_custkey"),
-        F.col("l_partkey").alias("lo_partkey"),
-        F.col("l_suppkey").alias("lo_suppkey"),
+        "lo_partkey",
+        "lo_suppkey",
         _yyyymmdd("o_orderdate").alias("lo_orderdate"),
         F.col("l_quantity").cast("int").alias("lo_quantity"),
         price.alias("lo_extendedprice"),
         (F.col("l_discount") * 100).cast("decimal(12,2)").alias("lo_discount"),
         (price * (1 - money("l_discount"))).cast("decimal(18,2)").alias("lo_revenue"),
         (price * F.lit("0.6").cast("decimal(2,1)")).cast("decimal(18,2)").alias("lo_supplycost"),
+        *extra,
     )
 
 

@@ -14,6 +14,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def has_table(spark: SparkSession, sf_dir: str, name: str) -> bool:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+
 def register(spark: SparkSession, tables: dict[str, DataFrame]) -> None:
     for name, df in tables.items():
         df.createOrReplaceTempView(name)
@@ -31,8 +36,7 @@ def convert(spark: SparkSession, source: str, target: str, tables: dict[str, str
     out = {}
     for name, schema in tables.items():
         path = f"{target}/{name}.parquet"
-        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
+        if not has_table(spark, target, name):
             read_tbl(spark, f"{source}/{name}.tbl", schema).write.parquet(path)
         out[name] = spark.read.parquet(path)
     return out
