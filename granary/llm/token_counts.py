@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import doc_texts, map_batches, pieces, read_table
+from .common import doc_texts, map_batches, pieces, read_table, stage, staging
 from .tokenization import default_path, word_encoder
 
 BLOCK = 4096
@@ -43,6 +43,7 @@ def length_histogram(lengths: DataFrame, length_col: str = "n_tokens") -> DataFr
     A null length counts as 0.
     """
     hist = lengths.groupBy(F.coalesce(F.col(length_col).cast("long"), F.lit(0)).alias("n_tokens")).agg(F.count(F.lit(1)).alias("documents"))
+    hist = stage(hist, staging(lengths.sparkSession, "lengths"))  # read twice below: texts are encoded once
     hist = hist.withColumn("block", F.floor(F.col("n_tokens") / BLOCK))
     tokens = F.col("n_tokens") * F.col("documents")
     blocks = hist.groupBy("block").agg(F.sum("documents").alias("block_documents"), F.sum(tokens).alias("block_tokens"))
