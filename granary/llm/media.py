@@ -7,7 +7,7 @@ by range reads of the headers alone; ``decoded_columns`` reads members back and
 Each task writes the shards of its own input split, each payload of a split once; payloads are never
 shuffled, so frequent copies make no hot key.  (A payload met by several tasks is stored once by each.)
 Shards are written under a name of their own and moved to a name made from their contents; a retried
-task makes the same file again.  Reading is dealt out by shard and range, not by digest.
+task makes the same file again.  Reading is dealt out by shard and range, not by digest, into tasks of about ``READ_BYTES`` stored bytes.
 
 Null texts are empty; an empty text is one row of 64 zero bytes.  An empty table gives no rows.
 Repeated rows each get a row; other columns don't matter.
@@ -33,6 +33,7 @@ WIDTH = 64
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 HEADER_BYTES = 33  # signature and IHDR chunk
 SPAN = 4 << 20  # bytes of a shard read at once
+READ_BYTES, READ_TASKS = 16 << 20, 100_000  # stored bytes behind the rows of a reading task; tasks at most (beyond, each reads more)
 
 
 def _chunk(kind: bytes, data: bytes) -> bytes:
@@ -135,9 +136,11 @@ def store(documents: DataFrame, root: str, level: int = 6, shard_bytes: int = 25
     return map_batches(doc_texts(documents, id_col, text_col), run, "doc_id long, n_bytes long, digest string, shard string, offset long, length long")
 
 
-def _dealt(media: DataFrame) -> DataFrame:
-    span = F.floor(F.col("offset") / SPAN)
-    return media.repartition(F.col("shard"), span).sortWithinPartitions("shard", "offset")
+def _dealt(media: DataFrame, read_bytes: int = READ_BYTES) -> DataFrame:
+    """The rows in as many tasks as the stored bytes behind them ask for: the rows themselves are small.  ``media`` is a written table."""
+    stored = media.select("shard", "offset", "length").distinct().agg(F.sum("length")).first()[0] or 0
+    tasks = min(READ_TASKS, max(1, -(-int(stored) // read_bytes)))
+    return media.repartition(tasks, F.col("shard"), F.floor(F.col("offset") / SPAN)).sortWithinPartitions("shard", "offset")
 
 
 def header_columns(media: DataFrame) -> DataFrame:
