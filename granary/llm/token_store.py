@@ -33,6 +33,7 @@ WINDOW = 16
 MIN_CHUNK, MEAN_BITS, MAX_CHUNK = 128, 9, 4096  # ids
 BASE = 0x9E3779B97F4A7C15  # odd
 MAGIC = b"GRC1"
+FILE_TOKENS, FILES = 2 << 20, 100_000  # ids behind a recipe file; recipe files at most (beyond, each has more)
 
 
 def _powers(n: int, base: int) -> np.ndarray:
@@ -140,8 +141,10 @@ def _pack(rows: DataFrame, root: str) -> DataFrame:
     return map_batches(dealt, run, "doc_id long, n_tokens long, digests binary, digest binary, pack string, offset long, length long")
 
 
-def _write_recipes(recipes: DataFrame, root: str) -> DataFrame:
-    """One recipe file a range of document ids, in ascending order: part, file, documents, tokens, root.
+def _write_recipes(recipes: DataFrame, root: str, file_tokens: int = FILE_TOKENS) -> DataFrame:
+    """One recipe file a range of documents, in ascending order: part, file, documents, tokens, root.
+
+    There are as many files as the ids behind them ask for, since recipes themselves are small; a frequent id is cut by its recipes.
 
     File: magic, then per document its id, number of ids, number of chunks, Merkle root, digests.
     """
@@ -163,7 +166,9 @@ def _write_recipes(recipes: DataFrame, root: str) -> DataFrame:
         write_atomically(uri, body())
         yield pa.RecordBatch.from_pylist([{"part": part, "file": uri, "documents": len(roots), "tokens": tokens, "root": merkle_root(roots)}], pa.schema([("part", pa.int64()), ("file", pa.string()), ("documents", pa.int64()), ("tokens", pa.int64()), ("root", pa.binary())]))
 
-    ordered = recipes.select("doc_id", "n_tokens", "digests").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "n_tokens", "digests")
+    tokens = recipes.agg(F.sum("n_tokens")).first()[0] or 0  # ``recipes`` is a written table
+    files, order = min(FILES, max(1, -(-int(tokens) // file_tokens))), ["doc_id", "n_tokens", "digests"]
+    ordered = recipes.select(*order).repartitionByRange(files, *order).sortWithinPartitions(*order)
     return map_batches(ordered, run, "part long, file string, documents long, tokens long, root binary")
 
 
@@ -176,6 +181,10 @@ def write_store(documents: DataFrame, root: str, tokenizer_path: str | None = No
     return index, manifest
 
 
+def _files(manifest: DataFrame) -> int:
+    return max(1, manifest.count())
+
+
 def read_recipes(manifest: DataFrame) -> DataFrame:
     """part, place (of the document in its file), doc_id, n_tokens, root, at (of the chunk), digest; verifies each file's root."""
     names = ["part", "place", "doc_id", "n_tokens", "root", "at", "digest"]
@@ -204,15 +213,15 @@ def read_recipes(manifest: DataFrame) -> DataFrame:
                     raise ValueError(f"{entry['file']}: root differs")
         reader.close()
 
-    return map_batches(manifest.repartition("part"), run, "part long, place long, doc_id long, n_tokens long, root binary, at long, digest binary")
+    return map_batches(manifest.repartition(_files(manifest), "part"), run, "part long, place long, doc_id long, n_tokens long, root binary, at long, digest binary")
 
 
 def read_store(index: DataFrame, manifest: DataFrame, id_bytes: int = 2, with_ids: bool = False) -> DataFrame:
     """Every document rebuilt and verified: doc_id, start, n_tokens, ids_crc32 (over 32-bit ids) and, if asked, ids."""
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per recipe file
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per recipe file: ``FILES`` at most
     bases = manifest.select("part", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("base"))
     found = read_recipes(manifest).join(index, "digest", "left")
-    dealt = found.repartition("part").sortWithinPartitions("part", "place", "at")
+    dealt = found.repartition(_files(manifest), "part").sortWithinPartitions("part", "place", "at")
     names = ["part", "doc_id", "shift", "n_tokens", "ids_crc32", *["ids"] * with_ids]
     types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), *[pa.binary()] * with_ids]
     kind = f"<u{id_bytes}"
