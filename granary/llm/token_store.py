@@ -10,8 +10,8 @@ carries the (compressed) chunks to the packs; recipes are range-partitioned by d
 written in ascending order.  Reading back joins recipes with the chunk index (pointers only; a
 digest in very many documents is split by the adaptive skew join) and reads ranges of the packs.
 
-Null texts are empty: only the end id.  Repeated ids of documents keep their rows (ordered by recipe
-root); a null id sorts first.  An empty table makes an empty store.  Other columns don't matter.
+Null texts are empty: only the end id.  Repeated ids of documents keep their rows (in order of length, then
+of a hash of the recipe); a null id sorts first.  An empty table makes an empty store.  Other columns don't matter.
 """
 
 from __future__ import annotations
@@ -167,8 +167,9 @@ def _write_recipes(recipes: DataFrame, root: str, file_tokens: int = FILE_TOKENS
         yield pa.RecordBatch.from_pylist([{"part": part, "file": uri, "documents": len(roots), "tokens": tokens, "root": merkle_root(roots)}], pa.schema([("part", pa.int64()), ("file", pa.string()), ("documents", pa.int64()), ("tokens", pa.int64()), ("root", pa.binary())]))
 
     tokens = recipes.agg(F.sum("n_tokens")).first()[0] or 0  # ``recipes`` is a written table
-    files, order = min(FILES, max(1, -(-int(tokens) // file_tokens))), ["doc_id", "n_tokens", "digests"]
-    ordered = recipes.select(*order).repartitionByRange(files, *order).sortWithinPartitions(*order)
+    files, order = min(FILES, max(1, -(-int(tokens) // file_tokens))), ["doc_id", "n_tokens", "place"]
+    ranged = recipes.select("doc_id", "n_tokens", "digests", F.xxhash64("digests").alias("place"))  # the driver sees a sample of the ranges' keys
+    ordered = ranged.repartitionByRange(files, *order).sortWithinPartitions(*order, "digests")
     return map_batches(ordered, run, "part long, file string, documents long, tokens long, root binary")
 
 
