@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read
 again as the next one's ``docs``.  All but the last return the columns of ``documents``.
+
+Rows that any stage may meet: a null or empty text scores the share of good labels, has no lines and no shingles, is similar to
+nothing and packs as one end id; null ids are kept, never joined with one another's texts; repeated rows score alike, lose
+the same lines, and one of them is kept by the similarity stage if its text has words; of several texts of one
+id each is a document; a very long text goes through whole; ties go by id, then by text or its hash; an empty table gives an
+empty table; extra columns pass through all stages but the last, which returns the pieces alone.
 """
 
 from __future__ import annotations
@@ -20,12 +26,13 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without their later repeats of runs of lines; one that loses all its text goes, one that loses none stays as it is."""
-    left = line_dedup.dedup_lines(docs)
+    own = "lines_deleted" in docs.columns  # a column of the documents stays as it is
+    left = line_dedup.dedup_lines(docs.withColumnRenamed("lines_deleted", "own_lines_deleted") if own else docs)
     changed = F.col("lines_deleted") > 0
     kept = left.filter(~changed | (F.trim(F.translate("text", "\n\t\r", "   ")) != ""))
     if "n_chars" in docs.columns:
         kept = kept.withColumn("n_chars", F.when(changed, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return kept.select(*docs.columns)
+    return kept.select(*(F.col("own_lines_deleted").alias(c) if own and c == "lines_deleted" else F.col(c) for c in docs.columns))
 
 
 def similar_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
