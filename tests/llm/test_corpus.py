@@ -541,3 +541,30 @@ def test_pipeline(spark, sf_dir, documents):
     pieces = seen[3][1].collect()
     assert {r["doc_id"] for r in pieces} == {r["doc_id"] for r in seen[3][0].collect()}
     assert sorted(map(tuple, corpus_pipeline.run(spark, sf_dir).select("doc_id", "piece", "start", "length", "ids_crc32").collect())) == sorted((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in pieces)
+
+
+def test_pipeline_stages_on_odd_rows(spark, sf_dir):
+    """Nulls, empty and long texts, repeated rows and ids, an empty table, extra columns of clashing names: each stage as documented."""
+    import corpus_pipeline
+
+    rng = random.Random(31)
+    passage = "\n".join(" ".join(f"p{i}q{j}" for j in range(20)) for i in range(4))
+    long = " ".join(words(rng, 20_000))
+    rows = [(None, "a text without id"), (None, None), (None, "another text without id"), (1, None), (2, ""), (3, passage), (4, f"own words first\n{passage}"), (5, long), (5, long), (5, "another text of this id"), (6, long + " tail"), (7, "  \n ")]
+    stages = dict(corpus_pipeline.STAGES)
+    for name in ("quality_classifier", "line_dedup", "ngram_jaccard_join"):
+        df = frame(spark, rows).withColumns({"class_id": F.lit("c"), "component": F.lit(1), "lines_deleted": F.lit("z"), "predicted": F.lit(None).cast("int")})
+        got = stages[name](spark, df, sf_dir)
+        assert got.columns == df.columns and dict(got.dtypes) == dict(df.dtypes)
+        kept = Counter((r["doc_id"], r["text"]) for r in got.collect())
+        if name == "quality_classifier":
+            assert not kept - Counter(rows) and all(kept[r] in (0, rows.count(r)) for r in rows)
+        elif name == "line_dedup":
+            assert kept == Counter(rows) - Counter([rows[6]]) + Counter([(4, "own words first")])
+        else:
+            assert kept == Counter(rows) - Counter([rows[6], (5, long), (6, long + " tail")])  # 76 of 79 shingles of rows[6] are in rows[5]
+        assert stages[name](spark, df.limit(0), sf_dir).collect() == []
+    df = frame(spark, rows).withColumns({"piece": F.lit("p"), "start": F.lit(1.5), "sequence_id": F.lit(None).cast("int")})
+    packed = stages["best_fit_packing"](spark, df, sf_dir).collect()
+    assert Counter(r["doc_id"] for r in packed if r["piece"] == 0) == Counter(i for i, _ in rows)
+    assert stages["best_fit_packing"](spark, df.limit(0), sf_dir).collect() == []
