@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import arithmetic, between, compare, compare_either, contains_in_order, divide_keeping_scale, ends_with, first_char, from_julian_day, julian_day, money, negate, prefix, rescale, starts_with, trimmed
+from ..functions import arithmetic, between, compare, compare_either, contains_in_order, divide_keeping_scale, ends_with, first_char, from_julian_day, julian_day, money, negate, prefix, rescale, row_hash, starts_with, trimmed
 from ..operators import cluster_by_key, fixed_agg, hash_group, select
 from ..sources.tables import table
 
@@ -48,6 +51,15 @@ def _matrix():
 
 
 QUERIES, ORACLE_SQL = _matrix()
+#: Narrow integers, fixed-width text and days, each with the constant it is compared with.
+_NARROW = {
+    "byte": ("CAST(l_linenumber AS TINYINT)", "CAST(3 AS TINYINT)"),
+    "short": ("CAST(l_quantity * 100 AS SMALLINT)", "CAST(1700 AS SMALLINT)"),
+    "char": ("rpad(l_returnflag, 10, ' ')", "rpad('N', 10, ' ')"),
+    "day": ("CAST(l_shipdate AS DATE)", "DATE '1998-03-15'"),
+}
+QUERIES["prim_compare_narrow"] = _counts(lambda: {f"{op}_{t}": compare(op, F.expr(c), F.expr(v)) for op in _SIGNS for t, (c, v) in _NARROW.items()})
+ORACLE_SQL["prim_compare_narrow"] = _counts_sql({f"{op}_{t}": f"{c} {s} {v}" for op, s in _SIGNS.items() for t, (c, v) in _NARROW.items()})
 _KEYS = ["l_orderkey", "l_linenumber"]
 _OPS = {"plus": "+", "minus": "-", "multiplies": "*", "divides": "//", "modulus": "%"}
 
@@ -110,6 +122,19 @@ def _products(line):
     return hash_group(line, ["l_orderkey"], product=F.product(F.col("l_linenumber").cast("double")), sum=F.sum("l_linenumber"), count=F.count(F.lit(1)))
 
 
+def product_of_table(spark, sf_dir):
+    """Product over the whole table: of signs, exact in doubles at any size."""
+    sign = F.when(F.col("l_returnflag") == "R", -1.0).otherwise(1.0)
+    return fixed_agg(table(spark, sf_dir, "lineitem"), product=F.product(sign), count=F.count(F.lit(1)))
+
+
+def hashed_keys(spark, sf_dir):
+    """Hashes of key pairs by lines and by pairs that share one: above one pair only where 64-bit hashes collide (from some 10^9 pairs on)."""
+    pairs = hash_group(table(spark, sf_dir, "lineitem"), ["l_partkey", "l_suppkey"], lines=F.count(F.lit(1)))
+    hashes = hash_group(pairs, [row_hash("l_partkey", "l_suppkey").alias("hash")], lines=F.sum("lines"), pairs=F.count(F.lit(1)))
+    return hash_group(hashes, ["lines", "pairs"], hashes=F.count(F.lit(1)))
+
+
 def partition_by_key(spark, sf_dir):
     """Rows dealt by key: every key in one partition."""
     dealt = cluster_by_key(table(spark, sf_dir, "lineitem").select("l_suppkey"), 16, "l_suppkey").select("l_suppkey", F.spark_partition_id().alias("part"))
@@ -122,6 +147,22 @@ def selectivities(spark, sf_dir):
     return fixed_agg(table(spark, sf_dir, "lineitem"), **{f"kept_{s}": F.count(F.when(F.col("l_partkey") % 100 < s, 1)) for s in shares})
 
 
+_SHARES = (0, 1, 5, 10, 30, 50, 65, 80, 100)
+
+
+def selections(spark, sf_dir):
+    """Filters that keep 0 to 100 percent of the quantity range (1 to 50); each reaches the scan of its own branch."""
+    line = table(spark, sf_dir, "lineitem")
+    kept = [fixed_agg(select(line, compare("lt", "l_quantity", 1 + s / 2)), share=F.lit(s), kept=F.count(F.lit(1)), sum=F.sum("l_linenumber")) for s in _SHARES]
+    return reduce(DataFrame.unionByName, kept)
+
+
+QUERIES |= {"prim_product_of_table": product_of_table, "prim_hashed_keys": hashed_keys, "prim_selections": selections}
+ORACLE_SQL |= {
+    "prim_product_of_table": "SELECT product(CASE WHEN l_returnflag = 'R' THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END) AS product, COUNT(*) AS count FROM lineitem",
+    "prim_hashed_keys": "SELECT lines, CAST(1 AS BIGINT) AS pairs, COUNT(*) AS hashes FROM (SELECT COUNT(*) AS lines FROM lineitem GROUP BY l_partkey, l_suppkey) GROUP BY 1",
+    "prim_selections": " UNION ALL ".join(f"SELECT CAST({s} AS INT) AS share, COUNT(*) AS kept, CAST(SUM(l_linenumber) AS BIGINT) AS sum FROM lineitem WHERE l_quantity < {1 + s / 2}" for s in _SHARES),
+}
 QUERIES |= {"prim_arithmetic_selected": arithmetic_after_selection, "prim_decimals": decimals, "prim_strings": strings, "prim_days": days, "prim_products": products, "prim_products_all": products_all, "prim_partition_by_key": partition_by_key, "prim_selectivities": selectivities}
 ORACLE_SQL |= {
     "prim_arithmetic_selected": "SELECT l_orderkey, l_linenumber, CAST(CAST(l_extendedprice AS DECIMAL(12,2)) * CAST(l_discount AS DECIMAL(12,2)) AS DOUBLE) AS product, -l_linenumber AS negated FROM lineitem WHERE l_quantity < 10",

@@ -5,6 +5,9 @@ The relations of the join workloads are R = orders (key o_orderkey, payload o_cu
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -187,6 +190,18 @@ def op_hash_histogram(spark, sf_dir):
     return chain_histogram(relation_s(spark, sf_dir), "key", 4096)
 
 
+def op_hash_histogram_totals(spark, sf_dir):
+    """The histogram's totals over rows and over distinct keys; ``even``: used buckets are as many as a uniform hash fills, within six deviations."""
+    rows, buckets = relation_s(spark, sf_dir), 4096
+    sides = []
+    for name, side in (("rows", rows), ("keys", rows.select("key").distinct())):
+        total = fixed_agg(chain_histogram(side, "key", buckets), entries=F.sum(F.col("chain_length") * F.col("buckets")), used=F.sum("buckets"))
+        filled = buckets * (1 - F.exp(-F.col("entries") / buckets))  # the variance of used buckets is below a quarter of all
+        even = F.abs(F.col("used") - filled) <= 6 * (buckets / 4) ** 0.5 if name == "keys" else F.col("used") <= buckets
+        sides.append(total.select(F.lit(name).alias("side"), "entries", even.alias("even")))
+    return sides[0].unionByName(sides[1])
+
+
 def op_sort_relation(spark, sf_dir):
     return sort_relation(relation_s(spark, sf_dir), "key", "s_payload")
 
@@ -218,6 +233,40 @@ def gen_replicated(spark, sf_dir):
     return datagen.replicated(datagen.primary_keys(spark, 1000), 2500, 1000)
 
 
+#: Generalised harmonic number of k for exponents one half and one, by its expansion.
+_HARMONIC = {0.5: lambda k: 2 * math.sqrt(k) - 1.4603545 + 0.5 / math.sqrt(k), 1.0: lambda k: math.log(k) + 0.5772157 + 0.5 / k}
+
+
+def gen_sizes(spark, sf_dir):
+    """Every generator at the size of the tables: n rows as line items, k keys as orders.
+
+    Per generator: rows, ``in_range`` (keys within bounds, payloads from 0 to n - 1 where they number rows) and ``shares`` (the
+    most and, where all keys occur, the least frequent key as often as its distribution says, within eight deviations).
+    """
+    n, k = table(spark, sf_dir, "lineitem").count(), table(spark, sf_dir, "orders").count()
+    mean = n / k
+    bound = mean + 8 * math.sqrt(mean) + 16
+    primary = datagen.primary_keys(spark, k)
+    relations = [
+        ("primary", primary, 1, k, 1, 1, 1),
+        ("foreign", datagen.foreign_keys(spark, n, k), 1, k, 0, math.floor(mean), math.ceil(mean)),
+        ("replicated", datagen.replicated(primary, n, k), 1, k, 1, math.floor(mean), math.ceil(mean)),
+        ("nonunique", datagen.nonunique_keys(spark, n, k), 0, k - 1, 0, mean, bound),
+        ("zipf 0", datagen.zipf_keys(spark, n, k, 0.0), 1, k, 0, mean, bound),
+    ]
+    for exponent, harmonic in _HARMONIC.items():
+        head = n / harmonic(k)
+        relations.append((f"zipf {exponent:g}", datagen.zipf_keys(spark, n, k, exponent), 1, k, 0, head - 8 * math.sqrt(head), head + 8 * math.sqrt(head)))
+    parts = []
+    for name, relation, low, high, first, least, most in relations:
+        keys = hash_group(relation, ["key"], rows=F.count(F.lit(1)), low=F.min("payload"), high=F.max("payload"))
+        last = k if first else n - 1
+        in_range = (F.min("key") >= low) & (F.max("key") <= high) & (F.min("low") == first) & (F.max("high") == last)
+        shares = F.max("rows").between(least, most) & (F.min("rows") >= (least if name in ("primary", "foreign", "replicated") else 1))
+        parts.append(fixed_agg(keys, rows=F.sum("rows"), in_range=in_range, shares=shares).select(F.lit(name).alias("relation"), "rows", "in_range", "shares"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 _M = "CAST({} AS DECIMAL(12,2))"
 _QA = f"lineitem {{}} orders ON l_orderkey = o_orderkey WHERE l_quantity < {P.qa_quantity}"
 _DICT = """p AS (SELECT s_region AS v FROM sup UNION SELECT s_nation FROM sup UNION SELECT s_city FROM sup UNION SELECT c_region FROM cus UNION SELECT c_nation FROM cus UNION SELECT c_city FROM cus),
@@ -265,6 +314,8 @@ QUERIES = {
     "gen_nonunique_keys": gen_nonunique_keys,
     "gen_zipf_keys": gen_zipf_keys,
     "gen_replicated": gen_replicated,
+    "gen_sizes": gen_sizes,
+    "op_hash_histogram_totals": op_hash_histogram_totals,
 }
 _D = f"CAST(SUM({_M.format('l_discount')}) AS DOUBLE) AS sum_discount"
 ORACLE_SQL = {
@@ -304,5 +355,7 @@ ORACLE_SQL = {
     "op_dictionary": f"{star.SQL}, {_DICT} SELECT s_suppkey, r.id AS s_region_id, n.id AS s_nation_id, c.id AS s_city_id FROM sup JOIN words r ON s_region = r.v JOIN words n ON s_nation = n.v JOIN words c ON s_city = c.v",
     "op_sort_relation": "SELECT l_orderkey AS key, l_linenumber AS s_payload FROM lineitem ORDER BY 1, 2",
     "gen_primary_keys": "SELECT i AS key, i AS payload FROM range(1, 10001) t(i)",
+    "op_hash_histogram_totals": "SELECT 'rows' AS side, COUNT(*) AS entries, TRUE AS even FROM lineitem UNION ALL SELECT 'keys', COUNT(DISTINCT l_orderkey), TRUE FROM lineitem",
+    "gen_sizes": "SELECT 'primary' AS relation, COUNT(*) AS rows, TRUE AS in_range, TRUE AS shares FROM orders UNION ALL SELECT r, (SELECT COUNT(*) FROM lineitem), TRUE, TRUE FROM (VALUES ('foreign'), ('replicated'), ('nonunique'), ('zipf 0'), ('zipf 0.5'), ('zipf 1')) t(r)",
     "gen_foreign_keys": "SELECT i % 10000 + 1 AS key, i AS payload FROM range(25000) t(i)",
 }

@@ -35,11 +35,20 @@ def foreign_keys(spark: SparkSession, n: int, largest: int, seed: int = S_SEED)
 
 
 def replicated(relation: DataFrame, n: int, size: int, seed: int = S_SEED) -> DataFrame:
-    """n rows from a relation of ``size`` rows, repeated whole as often as needed and then cut, in random order."""
+    """n rows from a relation of ``size`` rows, repeated whole as often as needed and then cut, in random order.
+
+    The last copy is cut in order of a hash: by bucket, whole ones first, so that no task holds all of it.
+    """
     copies = math.ceil(n / size)
     rows = relation.select("key", "payload", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy"))
-    last = rows.filter(F.col("copy") == copies - 1).drop("copy").orderBy("key", "payload").limit(n - size * (copies - 1))
-    return shuffled(rows.filter(F.col("copy") < copies - 1).drop("copy").unionByName(last), seed)
+    buckets = max(64, size // 100_000)
+    whole = relation.select("key", "payload").withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), "key", "payload"), F.lit(buckets)))
+    sizes = whole.groupBy("bucket").agg(F.count(F.lit(1)).alias("held"))
+    earlier = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("bucket", F.coalesce(F.sum("held").over(earlier), F.lit(0)).alias("before"))
+    place = F.row_number().over(Window.partitionBy("bucket").orderBy("key", "payload"))
+    last = whole.withColumn("place", place).join(sizes, "bucket").filter(F.col("before") + F.col("place") <= n - size * (copies - 1))
+    return shuffled(rows.filter(F.col("copy") < copies - 1).drop("copy").unionByName(last.select("key", "payload")), seed)
 
 
 def nonunique_keys(spark: SparkSession, n: int, largest: int, seed: int = R_SEED) -> DataFrame:
