@@ -16,7 +16,7 @@ import hashlib
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import doc_texts, map_batches, pieces
+from .common import doc_texts, map_batches, pieces, ship_file, shipped
 from .tokenization import byte_codec, default_path
 
 FIELDS = {"ids": ("binary", pa.binary()), "n_tokens": ("long", pa.int64()), "ids_sha256": ("string", pa.string()), "decoded_sha256": ("string", pa.string())}
@@ -28,12 +28,12 @@ def encode(documents: DataFrame, ranks_path: str | None = None, pattern: str | N
         import public_tokenizers
 
         pattern = public_tokenizers.PATTERN
-    path = ranks_path or default_path("byte_bpe_50k.tiktoken")
+    ranks = ship_file(documents.sparkSession, ranks_path or default_path("byte_bpe_50k.tiktoken"))
     names = ["doc_id", *columns]
     types = [pa.int64(), *(FIELDS[c][1] for c in columns)]
 
     def run(batches):
-        codec = byte_codec(path, pattern)
+        codec = byte_codec(shipped(ranks), pattern)
         sha = lambda data: hashlib.sha256(data).hexdigest()
         for batch in pieces(batches, 4000):
             ids, at = codec.encode_column(batch.column(1))
@@ -49,10 +49,11 @@ def decode(encoded: DataFrame, ranks_path: str | None = None) -> DataFrame:
     """doc_id and the text bytes of a table of doc_id and ``ids`` (null: empty)."""
     import public_tokenizers
 
-    path, pattern = ranks_path or default_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    ranks = ship_file(encoded.sparkSession, ranks_path or default_path("byte_bpe_50k.tiktoken"))
+    pattern = public_tokenizers.PATTERN
 
     def run(batches):
-        codec = byte_codec(path, pattern)
+        codec = byte_codec(shipped(ranks), pattern)
         for batch in pieces(batches, 4000):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([codec.decode(x or b"") for x in batch.column(1).to_pylist()], pa.binary())], ["doc_id", "data"])
 

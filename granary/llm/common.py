@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import hashlib
 import os
 import shutil
 import sys
@@ -12,6 +13,7 @@ from collections.abc import Iterable, Iterator
 from urllib.parse import urlparse
 
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +34,24 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(context.applicationId)
 
 
+def ship_file(spark: SparkSession, path: str) -> str:
+    """Sends a file of the driver to the executors, once per application; ``shipped`` finds it there by the name returned (contents and base name)."""
+    context = spark.sparkContext
+    with open(path, "rb") as file:
+        name = f"{hashlib.sha256(file.read()).hexdigest()[:16]}-{os.path.basename(path)}"
+    if f"{context.applicationId}/{name}" not in _SHIPPED:
+        folder = tempfile.mkdtemp(prefix="granary-file-")  # on the driver, which serves it to the executors
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        context.addFile(shutil.copyfile(path, f"{folder}/{name}"))
+        _SHIPPED.add(f"{context.applicationId}/{name}")
+    return name
+
+
+def shipped(name: str) -> str:
+    """Inside a task: where the file that ``ship_file`` sent lies on this machine."""
+    return SparkFiles.get(name)
+
+
 def map_batches(df: DataFrame, run, schema) -> DataFrame:
     """``mapInArrow`` by a function of this package."""
     ship(df.sparkSession)

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import doc_texts, map_batches, pieces, read_table, stage, staging
+from .common import doc_texts, map_batches, pieces, read_table, ship_file, shipped, stage, staging
 from .tokenization import default_path, word_encoder
 
 CAPACITY = 2048
@@ -140,12 +140,12 @@ class Plan:
 
 def cut_documents(documents: DataFrame, tokenizer_path: str | None = None, end_id: int = 0, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces: doc_id, piece, start, length, ids_crc32, task and rank_in_task (among pieces of its length and task)."""
-    path = tokenizer_path or default_path("word_bpe_49k.json")
+    tokenizer = ship_file(documents.sparkSession, tokenizer_path or default_path("word_bpe_49k.json"))
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "task", "rank_in_task"]
     types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
 
     def run(batches):
-        encoder, task, ranks = word_encoder(path), TaskContext.get().partitionId(), [0] * (capacity + 1)
+        encoder, task, ranks = word_encoder(shipped(tokenizer)), TaskContext.get().partitionId(), [0] * (capacity + 1)
         for batch in pieces(batches, 1500, 3 << 20):
             ids, at = encoder.encode_column(batch.column(1))
             rows = []

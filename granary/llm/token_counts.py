@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import doc_texts, map_batches, pieces, read_table, stage, staging
+from .common import doc_texts, map_batches, pieces, read_table, ship_file, shipped, stage, staging
 from .tokenization import default_path, word_encoder
 
 BLOCK = 4096
@@ -24,10 +24,10 @@ BLOCK = 4096
 
 def token_lengths(documents: DataFrame, tokenizer_path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens of every document."""
-    path = tokenizer_path or default_path("word_bpe_49k.json")
+    tokenizer = ship_file(documents.sparkSession, tokenizer_path or default_path("word_bpe_49k.json"))
 
     def run(batches):
-        encoder = word_encoder(path)
+        encoder = word_encoder(shipped(tokenizer))
         for batch in pieces(batches, 1500, 3 << 20):
             _, at = encoder.encode_column(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(at), pa.int64())], ["doc_id", "n_tokens"])

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import doc_texts, filesystem, map_batches, pieces, read_table, stage, staging, write_atomically, RangeReader
+from .common import doc_texts, filesystem, map_batches, pieces, read_table, ship_file, shipped, stage, staging, write_atomically, RangeReader
 from .tokenization import default_path, word_encoder
 
 WINDOW = 16
@@ -77,7 +77,7 @@ def merkle_root(digests: list[bytes]) -> bytes:
     return level[0] if level else hashlib.sha256(b"").digest()
 
 
-def _chunks(documents: DataFrame, path: str, end_id: int) -> DataFrame:
+def _chunks(documents: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """Two kinds of rows: recipes (doc_id, n_tokens, digests) and chunks (digest, data)."""
     names = ["doc_id", "n_tokens", "digests", "digest", "data"]
     types = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
@@ -85,7 +85,7 @@ def _chunks(documents: DataFrame, path: str, end_id: int) -> DataFrame:
     def run(batches):
         import zstandard
 
-        encoder, seen = word_encoder(path), set()
+        encoder, seen = word_encoder(shipped(tokenizer)), set()
         pack = zstandard.ZstdCompressor(level=3, write_content_size=True, write_checksum=False).compress
         for batch in pieces(batches, 1500, 3 << 20):
             ids, at = encoder.encode_column(batch.column(1))
@@ -175,8 +175,8 @@ def _write_recipes(recipes: DataFrame, root: str, file_tokens: int = FILE_TOKENS
 
 def write_store(documents: DataFrame, root: str, tokenizer_path: str | None = None, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """Encodes and writes; the chunk index (digest, pack, offset, length) and the manifest of recipe files."""
-    path = tokenizer_path or default_path("word_bpe_49k.json")
-    both = stage(_pack(_chunks(doc_texts(documents, id_col, text_col), path, end_id), f"{root}/packs"), f"{root}/index")
+    tokenizer = ship_file(documents.sparkSession, tokenizer_path or default_path("word_bpe_49k.json"))
+    both = stage(_pack(_chunks(doc_texts(documents, id_col, text_col), tokenizer, end_id), f"{root}/packs"), f"{root}/index")
     index = both.filter(F.col("digest").isNotNull()).select("digest", "pack", "offset", "length")
     manifest = stage(_write_recipes(both.filter(F.col("digest").isNull()), f"{root}/recipes"), f"{root}/manifest")
     return index, manifest

@@ -263,3 +263,18 @@ def test_plan_packs_exact_complements():
         for parts in filled.values():
             ends = [0, *(o + n for o, n in sorted(parts))]
             assert [o for o, _ in sorted(parts)] == ends[:-1] and ends[-1] <= 50
+
+
+def test_tokenizer_files_travel_to_tasks(spark, tmp_path):
+    """Tasks read what was sent, not the driver's path; files of one base name are told apart by their contents."""
+    docs = spark.createDataFrame([(1, "one two"), (2, None)], "doc_id long, text string")
+    known = open(default_path("byte_bpe_50k.tiktoken"), "rb").read()
+    made = []
+    for name, data in (("a", known), ("b", known + b"\n")):
+        (tmp_path / name).mkdir()
+        path = tmp_path / name / "ranks.tiktoken"
+        path.write_bytes(data)
+        made.append(bpe.encode(docs, ranks_path=str(path)))
+        path.unlink()
+    want = sorted(bpe.encode(docs).select("doc_id", "n_tokens").collect())
+    assert [sorted(m.select("doc_id", "n_tokens").collect()) for m in made] == [want, want]
